@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.llm import decontaminate, line_rules
+from framesift.llm import chat_format, decontaminate, line_rules, url_filter
 from framesift.llm.common import table
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark))
+
+
+#: The conversation that the op5 query adds.
+SAYS = r"\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", SAYS), (-7, 1, "assistant", SAYS)], "conv_id long, turn long, role string, text string")
+    turns = chat_format.turns_of(chat_format.turn_rows(rows.unionByName(added)))
+    return chat_format.digest(chat_format.format_turns(turns))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -17,6 +32,8 @@ def op8_line_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op5_chat_format": op5_chat_format,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_rules": op8_line_rules,
 }
@@ -25,6 +42,16 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _PHRASES = "|".join(line_rules.PHRASES)
 
 ORACLE_SQL = {
+    "op5_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+m AS (SELECT conv_id, turn, CASE WHEN role IN ('human') THEN 'user' WHEN role IN ('gpt', 'bot', 'model') THEN 'assistant' ELSE role END AS role, text,
+  replace(replace(replace(replace(text, '\', '\\'), '<turn>', '\lturn>'), '</turn>', '\l/turn>'), '### ', '\h ') AS e FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(e) + 15) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id""",
     "op7_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
