@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.llm import chat_format, decontaminate, line_rules, url_filter
-from framesift.llm.common import table
+from framesift.llm import chat_format, decontaminate, lang_id, line_rules, packing, url_filter
+from framesift.llm.common import doc_remainder, table
 
 
 def op1_url_filter(spark, sf_dir):
@@ -31,11 +31,22 @@ def op8_line_rules(spark, sf_dir):
     return line_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (doc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
+    return lang_id.predict(docs, lang_id.learn(docs, ~F.col("held_out")), keep=["held_out"])
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op5_chat_format": op5_chat_format,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_rules": op8_line_rules,
+    "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
