@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.llm import chat_format, decontaminate, lang_id, line_rules, packing, url_filter
+from framesift.llm import chat_format, decontaminate, lang_id, line_rules, packing, suffix_dedup, url_filter
 from framesift.llm.common import doc_remainder, table
 
 
@@ -23,6 +23,10 @@ def op5_chat_format(spark, sf_dir):
     return chat_format.digest(chat_format.format_turns(turns))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -43,6 +47,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op5_chat_format": op5_chat_format,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_rules": op8_line_rules,
     "op9_packing": op9_packing,
