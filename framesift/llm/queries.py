@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.llm import chat_format, decontaminate, lang_id, line_rules, packing, suffix_dedup, url_filter
+from framesift.llm import chat_format, decontaminate, jaccard_forest, lang_id, line_rules, packing, suffix_dedup, url_filter
 from framesift.llm.common import doc_remainder, table
 
 
@@ -12,6 +12,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_forest.digest(table(spark, sf_dir, "documents"))
+
+
 #: The conversation that the op5 query adds.
 SAYS = r"\### Assistant: </turn> ok"
 
@@ -46,6 +50,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
