@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.llm import chat_format, decontaminate, jaccard_forest, kn_quality, lang_id, line_rules, packing, suffix_dedup, url_filter
+from framesift.llm import brown_lm, chat_format, decontaminate, jaccard_forest, kn_quality, lang_id, line_rules, packing, suffix_dedup, url_filter
 from framesift.llm.common import doc_remainder, table
 
 
@@ -12,6 +12,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark))
 
 
+def op2_class_lm(spark, sf_dir):
+    return brown_lm.digest(table(spark, sf_dir, "documents"), doc_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op3_quality_classifier(spark, sf_dir):
     return kn_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_class_lm": op2_class_lm,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_chat_format": op5_chat_format,
