@@ -1,8 +1,58 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
 
-STAGES = []
+Quality, near copies, repeated strings, benchmark passages, then packing. The
+first four return the columns of documents; the last returns the pieces of the
+packed sequences. A document goes if the classifier rejects it, if a near copy
+with a lesser id stays, if all its text repeats what came before, or if it holds
+a window of a benchmark item.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framesift.llm import decontaminate, jaccard_forest, kn_quality, packing, suffix_dedup
+from framesift.llm.common import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kn_quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_forest.distinct_documents(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.removed(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left.filter("text <> ''")
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_documents(docs, decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_strings),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packed),
+]
+
+#: No SQL expresses the model of the first stage or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

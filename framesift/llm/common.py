@@ -41,6 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hidden(docs: DataFrame, *used: str):
+    """(docs with all columns but those used under names of our own, a function that gives a result the columns of docs again)."""
+    names = {c: c if c in used else f"_x{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return own, lambda out: out.select([F.col(n).alias(c) for c, n in names.items()])
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; otherwise Spark shuffles for the join."""
     return F.broadcast(df) if rows <= most else df.hint("merge")

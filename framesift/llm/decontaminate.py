@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ascii_lower, maybe_broadcast, stored
+from framesift.llm.common import ascii_lower, hidden, maybe_broadcast, stored
 
 #: What separates words in text that isn't lower-cased yet.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -108,9 +108,10 @@ def remove_spans(docs: DataFrame, report: DataFrame, most_keys: int = 1_000_000)
     word = word.replace("[", "[^", 1)
     pieces = F.regexp_extract_all("text", F.lit(f"(?:{rest.rstrip('+')})*{word}+"), F.lit(0))
     kept = F.filter(pieces, lambda x, i: ~F.exists("bad_spans", lambda s: (i >= s["first"]) & (i < s["after"])))
-    joined = docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["text_key"]), "left")
+    own, restored = hidden(docs, "doc_id", "text")
+    joined = own.join(bad, own["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(own["text"]) == bad["text_key"]), "left")
     out = joined.withColumn("text", F.when(F.col("bad_spans").isNotNull(), F.concat(F.array_join(kept, ""), F.regexp_extract("text", rest + "$", 0))).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+    return restored(out)
 
 
 def digest(report: DataFrame) -> DataFrame:

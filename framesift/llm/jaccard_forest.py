@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import maybe_broadcast, mix64, slices, stored, word_hashes, words_of
+from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, word_hashes, words_of
 
 N, THRESHOLD = 5, 0.8
 TRIES, DEPTH, RECALL = 16, 4, 0.9999
@@ -338,7 +338,8 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     own = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))
     keys = stored(told.groupBy("id", "tie").agg(F.count("*").alias("rows"), F.max(own | F.col("alone")).alias("stays"), F.max("alone").alias("alone")).filter("not stays or (rows > 1 and not alone)"), "doubles")
     found = maybe_broadcast(keys, keys.count(), MOST_KEYS)
-    at = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).withColumn("_tie", F.xxhash64("text"))
+    own_docs, restored = hidden(docs, "doc_id", "text")
+    at = own_docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).withColumn("_tie", F.xxhash64("text"))
     kept = at.join(found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie")), ["_id", "_tie"], "left_anti")
     again = at.join(found.filter("stays").select(F.col("id").alias("_id"), F.col("tie").alias("_tie")), ["_id", "_tie"], "left_semi").dropDuplicates(["_id", "_tie"])
-    return kept.unionByName(again).select(*docs.columns)
+    return restored(kept.unionByName(again))

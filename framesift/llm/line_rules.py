@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.common import hidden
+
 WORD = r"[^ \t-\r]+"
 #: Stock phrases of web pages and licences.
 PHRASES = (
@@ -66,8 +68,9 @@ def report(docs: DataFrame, text: str = "text", keep=()) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the failing lines gone from their text; the columns of docs."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return report(docs, keep=rest).filter("kept").withColumnRenamed("kept_text", "text").select(*docs.columns)
+    own, restored = hidden(docs, "doc_id", "text")
+    rest = [c for c in own.columns if c not in ("doc_id", "text")]
+    return restored(report(own, keep=rest).filter("kept").withColumnRenamed("kept_text", "text"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import maybe_broadcast, mix64, slices, stored, text_bytes
+from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, text_bytes
 
 WINDOW, GRAM = 100, 32
 SLICE, PIECE, SHARD_BYTES, BATCH = 3 << 19, 1 << 20, 8 << 20, 40_000
@@ -326,6 +326,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs with the repeated strings gone from text; a character goes only as a whole. Columns stay as they are."""
+    own, restored = hidden(docs, "doc_id", "text")
 
     def each(batches):
         import pyarrow as pa
@@ -346,4 +347,4 @@ def removed(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(texts, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in batch.schema.names if n != "cuts"]
             yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "cuts"])
 
-    return with_cuts(docs).mapInArrow(each, docs.schema)
+    return restored(with_cuts(own).mapInArrow(each, own.schema))
