@@ -1,4 +1,477 @@
 """Every query of the scene-memory operators, by name, with its DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from framesift.config import Config
+from framesift.functions import embedding, geometry, relations, text
+from framesift.operators import dag, events, query, search, tracker, windows
+from framesift.plans import bindings as b
+from framesift.plans import memory
+from framesift.sources import detector, scene_graph
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: detections() as a common table expression.
+_D = """d AS (SELECT CAST(user_id % 3 AS VARCHAR) AS sample_id, CAST(day(ts) - 1 AS INT) AS frame_index, user_id AS entity_id, 'user' || user_id AS tag, event_type AS label,
+  value AS x1, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) AS y1
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1)"""
+_P = _D + ", s AS (SELECT *, CAST(floor(frame_index / 5) AS INT) AS bucket, x1 + 25 AS cx, y1 + 25 AS cy FROM d)"
+
+
+def registered(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r4(c):
+    return F.round(c, 4)
+
+
+# ---- scans, filters and scalar functions
+
+
+@registered(f"WITH {_D} SELECT sample_id, frame_index, tag, label, round(x1, 4) AS x1, round(y1, 4) AS y1 FROM d WHERE x1 >= 20")
+def detections(spark, sf_dir):
+    d = scene_graph.by_score(b.detections(spark, sf_dir).withColumn("score", F.col("bbox")[0]), 20.0)
+    return d.select("sample_id", "frame_index", "tag", "label", r4(F.col("bbox")[0]).alias("x1"), r4(F.col("bbox")[1]).alias("y1"))
+
+
+@registered(f"""WITH {_D} SELECT a.sample_id, a.frame_index, a.entity_id, c.entity_id AS other, round(CASE WHEN 5000 - i.i <= 1e-8 THEN 0 ELSE i.i / (5000 - i.i) END, 4) AS iou, a.tag = c.tag AS same_tag
+FROM d a JOIN d c ON a.sample_id = c.sample_id AND c.frame_index = a.frame_index + 1 AND c.entity_id BETWEEN a.entity_id AND a.entity_id + 30,
+LATERAL (SELECT greatest(0, least(a.x1, c.x1) + 50 - greatest(a.x1, c.x1)) * greatest(0, least(a.y1, c.y1) + 50 - greatest(a.y1, c.y1)) AS i) i WHERE round(CASE WHEN 5000 - i.i <= 1e-8 THEN 0 ELSE i.i / (5000 - i.i) END, 4) > 0""")
+def iou_pairs(spark, sf_dir):
+    d = b.detections(spark, sf_dir).select("sample_id", "frame_index", "entity_id", "tag", "bbox")
+    nxt = d.select("sample_id", (F.col("frame_index") - 1).alias("frame_index"), F.col("entity_id").alias("other"), F.col("tag").alias("other_tag"), F.col("bbox").alias("box"))
+    pairs = d.join(nxt, ["sample_id", "frame_index"]).filter("other between entity_id and entity_id + 30")
+    return pairs.select("sample_id", "frame_index", "entity_id", "other", r4(geometry.iou(F.col("bbox"), F.col("box"))).alias("iou"), (F.col("tag") == F.col("other_tag")).alias("same_tag")).filter("iou > 0")
+
+
+@registered("""WITH v AS (SELECT event_id, value - 50 AS dx, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) - 50 AS dy FROM events),
+a AS (SELECT *, degrees(atan2(-dy, dx)) AS up, degrees(atan2(dy, dx)) AS ang FROM v)
+SELECT event_id, CASE WHEN abs(dx) < 1 AND abs(dy) < 1 THEN 'stationary' WHEN up >= -22.5 AND up < 22.5 THEN 'right' WHEN up >= 22.5 AND up < 67.5 THEN 'up-right' WHEN up >= 67.5 AND up < 112.5 THEN 'up'
+  WHEN up >= 112.5 AND up < 157.5 THEN 'up-left' WHEN up >= 157.5 OR up < -157.5 THEN 'left' WHEN up < -112.5 THEN 'down-left' WHEN up < -67.5 THEN 'down' ELSE 'down-right' END AS compass,
+  round(ang, 4) AS angle, round(least(abs(ang - 90) % 360, 360 - abs(ang - 90) % 360), 4) AS off_vertical, round(sqrt(dx * dx + dy * dy), 4) AS distance FROM a""")
+def directions(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("double")
+    rows = b.table(spark, sf_dir, "events").select("event_id", F.struct(F.lit(50.0).alias("x"), F.lit(50.0).alias("y")).alias("p"), F.struct(F.col("value").alias("x"), k.alias("y")).alias("q"))
+    angle = geometry.direction(F.col("p"), F.col("q"))
+    return rows.select("event_id", geometry.compass(F.col("p"), F.col("q")).alias("compass"), r4(angle).alias("angle"), r4(geometry.angle_difference(angle, F.lit(90.0))).alias("off_vertical"), r4(geometry.distance(F.col("p"), F.col("q"))).alias("distance"))
+
+
+@registered("SELECT event_id, printf('[%d, %d, %d, %d]', CAST(round_even(value, 0) AS BIGINT), 2, 4, CAST(round_even(value + 0.5, 0) AS BIGINT)) AS box FROM events")
+def compact_boxes(spark, sf_dir):
+    return b.table(spark, sf_dir, "events").select("event_id", geometry.compact(F.array(F.col("value"), F.lit(2.5), F.lit(3.5), F.col("value") + 0.5)).alias("box"))
+
+
+@registered(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_\-]+') AS t FROM documents)
+SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, CAST(len(list_distinct(t)) AS INT) AS n_distinct, coalesce(t[1], '') AS first_token FROM t""")
+def tokenise(spark, sf_dir):
+    t = b.table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first_token"))
+
+
+@registered(r"""WITH p AS (SELECT p_partkey, regexp_extract_all(lower(translate(p_name || '_' || p_type || '/' || p_brand, '_/>', '   ')), '[\p{L}\p{N}_\-]+') AS t FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_concat(t, list_transform(t, lambda x: regexp_replace(regexp_replace(x, '[0-9]+', '', 'g'), '^[-_ ]+|[-_ ]+$', '', 'g'))), lambda x: x <> ''))), ' ') AS tokens FROM p""")
+def concept_tokens(spark, sf_dir):
+    return b.table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.concept_tokens(F.concat_ws("/", F.concat_ws("_", "p_name", "p_type"), "p_brand")), " ").alias("tokens"))
+
+
+@registered(r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS normal FROM documents")
+def normalise_text(spark, sf_dir):
+    return b.table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("normal"))
+
+
+@registered(r"""WITH q AS (SELECT conv_id, turn, trim(text || ' and ' || text || '? one; two and One') AS q FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(q, '\s+(?:and|then|while)\s+|[；;。!?！？]\s*|\s*和\s*|\s*并且\s*'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM q),
+u AS (SELECT conv_id, turn, list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i) AS p FROM p)
+SELECT conv_id, turn, CAST(len(p) AS INT) AS n_parts, array_to_string(p, '|') AS parts FROM u""")
+def decompose_questions(spark, sf_dir):
+    c = b.table(spark, sf_dir, "conversations").filter("text is not null")
+    q = c.select("conv_id", "turn", text.decompose(F.concat("text", F.lit(" and "), "text", F.lit("? one; two and One"))).alias("p"))
+    return q.select("conv_id", "turn", F.size("p").alias("n_parts"), F.array_join("p", "|").alias("parts"))
+
+
+@registered("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) END AS k FROM events""")
+def json_blocks(spark, sf_dir):
+    said = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done"))).otherwise("no json {here")
+    return b.table(spark, sf_dir, "events").select("event_id", F.get_json_object(text.json_object(said), "$.k").cast("long").alias("k"))
+
+
+@registered("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS INT) WHEN p_partkey % 3 = 1 THEN CAST(p_partkey AS INT) ELSE CAST(p_partkey + 7 AS INT) END AS frame FROM part""")
+def frame_numbers(spark, sf_dir):
+    given = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size"))
+    path = F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("a1/img_"), F.col("p_partkey").cast("string"), F.lit("_9.jpg"))).otherwise("x2/none.jpg")
+    return b.table(spark, sf_dir, "part").select("p_partkey", text.frame_number(given, path, F.col("p_partkey") + 7).alias("frame"))
+
+
+@registered("""SELECT o_custkey, array_to_string(list_sort(list_distinct(list_transform(list(o_orderpriority), lambda x: lower(trim(x))))), '|') AS attributes, array_to_string(list_sort(list(DISTINCT lower(o_orderstatus) || '->' || lower(o_orderpriority))), '|') AS relations
+FROM orders GROUP BY o_custkey""")
+def normal_sets(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.concat(F.lit(" "), "o_orderpriority")).alias("a"), F.collect_list(F.struct(F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("object"))).alias("r"))
+    shown = F.transform(relations.pairs(F.col("r")), lambda x: F.concat(x["name"], F.lit("->"), x["object"]))
+    return rows.select("o_custkey", F.array_join(relations.attributes(F.col("a")), "|").alias("attributes"), F.array_join(F.array_sort(shown), "|").alias("relations"))
+
+
+# ---- windows
+
+
+@registered(f"""WITH {_P}, l AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM s WINDOW w AS (PARTITION BY sample_id, bucket, entity_id ORDER BY frame_index)),
+m AS (SELECT *, degrees(atan2(cy - py, cx - px)) AS ang FROM l WHERE px IS NOT NULL AND (px <> cx OR py <> cy)),
+n AS (SELECT *, abs(ang - lag(ang) OVER (PARTITION BY sample_id, bucket, entity_id ORDER BY frame_index)) % 360 AS df FROM m),
+c AS (SELECT sample_id, bucket, entity_id, count(*) FILTER (least(df, 360 - df) >= 45) AS turns FROM n GROUP BY ALL),
+g AS (SELECT sample_id, bucket, entity_id, count(*) AS n, min(frame_index) AS f0, max(frame_index) AS f1, arg_min(cx, frame_index) AS ax, arg_min(cy, frame_index) AS ay, arg_max(cx, frame_index) AS bx, arg_max(cy, frame_index) AS b2, arg_max(label, frame_index) AS label FROM s GROUP BY ALL),
+t AS (SELECT g.*, coalesce(c.turns, 0) AS turns, bx - ax AS dx, b2 - ay AS dy, sqrt((bx - ax) * (bx - ax) + (b2 - ay) * (b2 - ay)) AS disp FROM g LEFT JOIN c USING (sample_id, bucket, entity_id))
+SELECT sample_id, bucket, entity_id, label, f0 AS frame_start, f1 AS frame_end, round(disp, 4) AS total_displacement, round(disp / greatest(1, f1 - f0), 4) AS avg_speed,
+ CASE WHEN abs(dx) < 15 AND abs(dy) < 15 THEN 'stationary' WHEN turns >= 1 THEN 'direction_change' WHEN abs(dy) > abs(dx) AND dy < -25 THEN 'jumping_up' WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'moving_right' ELSE 'moving_left' END WHEN dy >= 0 THEN 'moving_down' ELSE 'moving_up' END AS mode,
+ turns AS direction_changes, n AS num_observations, round(least(1.0, 0.65 + disp / 150.0), 4) AS confidence FROM t WHERE n >= 2 AND disp >= 10""")
+def trajectory_summary(spark, sf_dir):
+    t = windows.trajectories(b.placed(spark, sf_dir))
+    return t.select("sample_id", "bucket", "entity_id", "label", "frame_start", "frame_end", r4("total_displacement").alias("total_displacement"), r4("avg_speed").alias("avg_speed"), "mode", "direction_changes", "num_observations", r4("confidence").alias("confidence"))
+
+
+@registered(f"""WITH {_P}, p AS (SELECT a.sample_id, a.bucket, a.entity_id AS entity_a, c.entity_id AS entity_b, count(*) AS n, min(a.frame_index) AS f0, max(a.frame_index) AS f1,
+ arg_min(a.cx, a.frame_index) AS ax, arg_min(a.cy, a.frame_index) AS ay, arg_max(a.cx, a.frame_index) AS ex, arg_max(a.cy, a.frame_index) AS ey, arg_min(c.cx, a.frame_index) AS bx, arg_min(c.cy, a.frame_index) AS b2, arg_max(c.cx, a.frame_index) AS gx, arg_max(c.cy, a.frame_index) AS gy
+ FROM s a JOIN s c ON a.sample_id = c.sample_id AND a.bucket = c.bucket AND a.frame_index = c.frame_index AND a.entity_id < c.entity_id GROUP BY ALL HAVING count(*) >= 2),
+q AS (SELECT *, sqrt((ax - bx) ** 2 + (ay - b2) ** 2) AS d0, sqrt((ex - gx) ** 2 + (ey - gy) ** 2) AS d1, abs(degrees(atan2(ey - ay, ex - ax)) - degrees(atan2(gy - b2, gx - bx))) % 360 AS h FROM p),
+k AS (SELECT *, CASE WHEN d1 / greatest(d0, 1e-6) < 0.7 THEN 'approaching_each_other' WHEN d1 / greatest(d0, 1e-6) > 1.43 THEN 'departing_from_each_other' WHEN least(h, 360 - h) <= 30 THEN 'moving_together' END AS t FROM q WHERE d0 >= 5)
+SELECT sample_id, bucket, entity_a, entity_b, f0 AS frame_start, f1 AS frame_end, round(d0, 4) AS distance_start, round(d1, 4) AS distance_end, t AS interaction_type, n AS num_common_frames FROM k WHERE t IS NOT NULL""")
+def pair_interaction(spark, sf_dir):
+    i = windows.interactions(b.placed(spark, sf_dir))
+    return i.select("sample_id", "bucket", "entity_a", "entity_b", "frame_start", "frame_end", r4("distance_start").alias("distance_start"), r4("distance_end").alias("distance_end"), "interaction_type", "num_common_frames")
+
+
+@registered(f"""WITH {_D}, f AS (SELECT DISTINCT sample_id, frame_index FROM d), o AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY sample_id ORDER BY frame_index) - 1) / 5) AS INT) AS bucket FROM f),
+g AS (SELECT sample_id, bucket, count(*) AS n, min(frame_index) AS f0 FROM o GROUP BY ALL), l AS (SELECT sample_id, bucket, entity_id, arg_max(label, frame_index) AS label FROM d JOIN o USING (sample_id, frame_index) GROUP BY ALL),
+t AS (SELECT sample_id, bucket, count(*) AS k, list_sort(list(DISTINCT label)) AS ls FROM l GROUP BY ALL)
+SELECT sample_id, bucket, CAST(f0 AS INT) AS frame_start, CAST(f0 + n - 1 AS INT) AS frame_end, 'Scene contains ' || k || ' entities (' || array_to_string(ls[1:3], ', ') || CASE WHEN len(ls) > 3 THEN ' and ' || (len(ls) - 3) || ' more types' ELSE '' END || ') observed over frames ' || f0 || '-' || (f0 + n - 1) || '.' AS description
+FROM g JOIN t USING (sample_id, bucket)""")
+def window_description(spark, sf_dir):
+    d = b.detections(spark, sf_dir)
+    buckets = windows.frame_buckets(d.select("sample_id", "frame_index").distinct(), 5)
+    return windows.descriptions(d.join(buckets, ["sample_id", "frame_index"]), buckets).select("sample_id", "bucket", "frame_start", "frame_end", "description")
+
+
+# ---- events from sights
+
+
+def _sights(spark, sf_dir):
+    """detections() as if the tracker had found each user again every day."""
+    d = b.detections(spark, sf_dir).withColumn("entity_id", F.col("entity_id").cast("string"))
+    first = F.min("frame_index").over(W.partitionBy("sample_id", "entity_id"))
+    start = F.min("frame_index").over(W.partitionBy("sample_id"))
+    return d.withColumns({"attributes": F.array("label"), "relations": F.array(F.struct(F.col("label").alias("name"), F.lit("site").alias("object"))), "layer_mappings": F.array().cast(scene_graph.LAYERS), "layer_id": F.lit(1), "detection_score": F.col("score"), "arrival": F.col("ord"), "status": F.when(F.col("frame_index") == first, "new").otherwise("matched"), "first_frame": F.col("frame_index") == start})
+
+
+@registered(f"""WITH {_D}, f AS (SELECT sample_id, min(frame_index) AS frame_index FROM d GROUP BY ALL), c AS (SELECT sample_id, frame_index, label, count(*) AS n FROM d JOIN f USING (sample_id, frame_index) GROUP BY ALL)
+SELECT sample_id, CAST(frame_index AS INT) AS frame_start, 'Initial scene at frame ' || frame_index || ' contains ' || sum(n) || ' objects: ' || string_agg(n || ' ' || label, ', ' ORDER BY label) || '.' AS summary FROM c GROUP BY sample_id, frame_index""")
+def initial_scene(spark, sf_dir):
+    return events.initial_scene(_sights(spark, sf_dir)).select("sample_id", "frame_start", "summary")
+
+
+@registered(f"""WITH {_D}, l AS (SELECT *, lag(x1) OVER w AS px, lag(y1) OVER w AS py FROM d WINDOW w AS (PARTITION BY sample_id, entity_id ORDER BY frame_index)), m AS (SELECT *, sqrt((x1 - px) ** 2 + (y1 - py) ** 2) AS disp FROM l WHERE px IS NOT NULL)
+SELECT sample_id, CAST(frame_index AS INT) AS frame_start, CAST(entity_id AS VARCHAR) AS entity, round(least(1.0, 0.6 + disp / 100.0), 4) AS confidence FROM m WHERE disp >= 10""")
+def entity_moved(spark, sf_dir):
+    return events.moved(events.sights(_sights(spark, sf_dir)), 10.0).select("sample_id", "frame_start", F.col("entities")[0].alias("entity"), "confidence")
+
+
+@registered(f"""WITH {_D}, a AS (SELECT sample_id, entity_id, min(frame_index) AS f0, max(frame_index) AS f1, arg_min(x1, frame_index) AS ax, arg_min(y1, frame_index) AS ay, arg_max(x1, frame_index) AS bx, arg_max(y1, frame_index) AS b2, count(*) AS n FROM d GROUP BY ALL), z AS (SELECT sample_id, max(frame_index) AS last FROM d GROUP BY ALL)
+SELECT sample_id, entity_id, CAST(f0 AS INT) AS first_frame, CAST(f1 AS INT) AS last_frame, n AS sights, round(sqrt((bx - ax) ** 2 + (b2 - ay) ** 2), 3) AS total_displacement, CASE WHEN f1 < last THEN CAST(f1 + 1 AS INT) END AS disappeared_frame FROM a JOIN z USING (sample_id)""")
+def entity_lifecycle(spark, sf_dir):
+    d = b.detections(spark, sf_dir)
+    last = d.groupBy("sample_id").agg(F.max("frame_index").alias("last"))
+    rows = d.groupBy("sample_id", "entity_id").agg(F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.count("*").alias("sights"), F.min_by("bbox", "frame_index").alias("p"), F.max_by("bbox", "frame_index").alias("q")).join(F.broadcast(last), "sample_id")
+    return rows.select("sample_id", "entity_id", "first_frame", "last_frame", "sights", F.round(geometry.displacement(F.col("p"), F.col("q")), 3).alias("total_displacement"), F.when(F.col("last_frame") < F.col("last"), F.col("last_frame") + 1).alias("disappeared_frame"))
+
+
+@registered(f"""WITH {_D}, l AS (SELECT *, lag(label) OVER (PARTITION BY sample_id, entity_id ORDER BY frame_index) AS old FROM d)
+SELECT sample_id, CAST(frame_index AS INT) AS tau_frame, tag || '''s kind changed from ''' || old || ''' to ''' || label || '''' AS content FROM l WHERE old IS NOT NULL AND old <> label""")
+def attribute_changed(spark, sf_dir):
+    rows = _sights(spark, sf_dir).select("sample_id", "tag", F.lit("kind").alias("attribute"), F.col("label").alias("value"), "frame_index", "arrival")
+    return dag.attribute_drafts(rows).select("sample_id", "tau_frame", "content")
+
+
+_R = "r AS (SELECT user_id AS entity_id, CAST(day(ts) - 1 AS INT) AS frame_index, list_sort(list(DISTINCT event_type)) AS rels FROM events GROUP BY ALL), l AS (SELECT *, lag(rels) OVER (PARTITION BY entity_id ORDER BY frame_index) AS prev FROM r)"
+
+
+@registered(f"""WITH {_R} SELECT CAST(entity_id AS VARCHAR) AS entity_id, frame_index, array_to_string(list_sort(list_filter(rels, lambda x: NOT list_contains(prev, x))), ',') AS added, array_to_string(list_sort(list_filter(prev, lambda x: NOT list_contains(rels, x))), ',') AS removed FROM l WHERE prev IS NOT NULL""")
+def relation_diff(spark, sf_dir):
+    rows = events.sights(b.day_relations(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("tag", "label", "bbox", "attributes")})).filter("prev_relations is not null")
+    names = lambda c: F.array_join(F.transform(c, lambda r: r["name"]), ",")
+    return rows.select("entity_id", "frame_index", names(relations.added(F.col("prev_relations"), F.col("relations"))).alias("added"), names(relations.removed(F.col("prev_relations"), F.col("relations"))).alias("removed"))
+
+
+@registered(f"""WITH {_R}, f AS (SELECT entity_id, arg_min(rels, frame_index) AS given FROM r GROUP BY ALL), x AS (SELECT l.entity_id, frame_index, unnest(list_filter(rels, lambda x: NOT list_contains(prev, x) AND NOT list_contains(given, x))) AS rel FROM l JOIN f USING (entity_id) WHERE prev IS NOT NULL)
+SELECT CAST(entity_id AS VARCHAR) AS entity_id, CAST(min(frame_index) AS INT) AS frame_index, rel FROM x GROUP BY entity_id, rel""")
+def relation_debounce(spark, sf_dir):
+    seen = events.sights(b.day_relations(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("tag", "label", "bbox", "attributes")}))
+    told = events.relation_changes(seen, Config(), semantic=False)
+    return told.select("entity_id", "frame_index", F.explode("added").alias("r")).select("entity_id", "frame_index", F.col("r.name").alias("rel"))
+
+
+@registered(f"""WITH {_D} SELECT sample_id, entity_id, CAST(frame_index AS INT) AS frame_index, printf('%s_%06d', 'entities', row_number() OVER (PARTITION BY sample_id ORDER BY frame_index, entity_id) - 1) AS memory_id,
+ CAST(row_number() OVER (PARTITION BY sample_id, frame_index ORDER BY entity_id) - 1 AS INT) AS seq FROM d""")
+def logical_clock(spark, sf_dir):
+    d = b.detections(spark, sf_dir)
+    seq = (F.row_number().over(W.partitionBy("sample_id", "frame_index").orderBy("entity_id")) - 1).cast("int")
+    rows = events.numbered(d.select("sample_id", F.lit("entities").alias("key"), "entity_id", "frame_index", F.struct("frame_index", "entity_id").alias("rank"), F.lit("").alias("content")))
+    return rows.select("sample_id", "entity_id", "frame_index", "memory_id", seq.alias("seq"))
+
+
+# ---- graph
+
+
+@registered("""WITH RECURSIVE e AS (SELECT user_id, value AS x, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, n, x AS ax, y AS ay, NULL::DOUBLE AS fx, NULL::DOUBLE AS fy, false AS hit FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.n, CASE WHEN sqrt((e.x - w.ax) ** 2 + (e.y - w.ay) ** 2) >= 10 THEN e.x ELSE w.ax END, CASE WHEN sqrt((e.x - w.ax) ** 2 + (e.y - w.ay) ** 2) >= 10 THEN e.y ELSE w.ay END, w.ax, w.ay, sqrt((e.x - w.ax) ** 2 + (e.y - w.ay) ** 2) >= 10
+ FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, n AS step, round(sqrt((ax - fx) ** 2 + (ay - fy) ** 2), 4) AS displacement FROM w WHERE hit""")
+def movement_fold(spark, sf_dir):
+    e = b.table(spark, sf_dir, "events").select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("step"), F.struct(F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y")).alias("center"))
+    return dag.movement_fold(e, ["user_id"], ["step"], 10.0).select("user_id", "step", r4("displacement").alias("displacement"))
+
+
+@registered("""WITH t AS (SELECT CAST(user_id % 3 AS VARCHAR) AS sample_id, user_id, ts, event_id, event_type FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM t),
+i AS (SELECT *, turn - row_number() OVER (PARTITION BY user_id, event_type ORDER BY turn) AS island FROM n)
+SELECT user_id, event_type, min(turn) AS start_frame, max(turn) AS last_frame, max(turn) < (SELECT max(turn) FROM n m WHERE m.user_id = i.user_id) AS ended FROM i GROUP BY user_id, event_type, island""")
+def relation_islands(spark, sf_dir):
+    e = b.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sample_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("frame_index"), "event_type")
+    calls = e.select("sample_id", "frame_index", F.lit(1).alias("phase"), F.lit(0).alias("place"), F.lit("u").alias("subject"), F.lit(0).alias("item"), F.col("event_type").alias("predicate"), F.lit("site").alias("object"), F.col("event_type").alias("key"))
+    return dag.relation_islands(calls).select(F.col("sample_id").cast("long").alias("user_id"), F.col("key").alias("event_type"), "start_frame", "last_frame", "ended")
+
+
+_T = "t AS (SELECT conv_id, turn FROM conversations), e AS (SELECT a.conv_id, a.turn AS p, b.turn AS c FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn IN (a.turn + 1, a.turn + 2))"
+
+
+@registered(f"""WITH RECURSIVE {_T}, s AS (SELECT conv_id, max(turn) AS turn FROM t GROUP BY conv_id), w AS (SELECT conv_id, turn, 0 AS depth FROM s UNION SELECT w.conv_id, e.p, w.depth + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.c = w.turn WHERE w.depth < 3)
+SELECT CAST(conv_id AS VARCHAR) AS sample_id, conv_id || ':' || turn AS node_id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY conv_id, turn""")
+def closure(spark, sf_dir):
+    return search.closure(b.last_turns(spark, sf_dir), b.turn_edges(spark, sf_dir), 3).select("sample_id", "node_id", "depth")
+
+
+@registered(f"WITH {_T} SELECT CAST(conv_id AS VARCHAR) AS sample_id, conv_id || ':' || p AS parent_id, conv_id || ':' || c AS child_id FROM e WHERE c = p + 1")
+def transitive_reduction(spark, sf_dir):
+    return dag.reduced(b.turn_edges(spark, sf_dir), ["sample_id"])
+
+
+@registered(f"""WITH RECURSIVE {_T}, s AS (SELECT conv_id, max(turn) AS turn FROM t GROUP BY conv_id), w AS (SELECT conv_id, turn, 0 AS depth FROM s UNION SELECT w.conv_id, e.p, w.depth + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.c = w.turn WHERE w.depth < 6 AND e.p % 3 <> 1)
+SELECT CAST(conv_id AS VARCHAR) AS sample_id, conv_id || ':' || turn AS node_id FROM w GROUP BY conv_id, turn""")
+def relevant_closure(spark, sf_dir):
+    nodes = b.turns(spark, sf_dir).select("sample_id", "node_id", F.when(F.col("tau_frame") % 3 == 0, F.array(F.lit(1.0))).when(F.col("tau_frame") % 3 == 1, F.array(F.lit(0.0))).alias("embedding"))
+    seeds = b.last_turns(spark, sf_dir)
+    asked = seeds.select("query_id", "sample_id", F.array(F.lit(1.0)).alias("query_vector"))
+    return search.relevant_closure(seeds, b.turn_edges(spark, sf_dir), nodes, asked, 6).select("sample_id", "node_id")
+
+
+@registered(f"WITH {_T} SELECT t.conv_id || ':' || t.turn AS node_id, count(DISTINCT x.p) AS n_parents, count(DISTINCT y.c) AS n_children FROM t LEFT JOIN e x ON x.conv_id = t.conv_id AND x.c = t.turn LEFT JOIN e y ON y.conv_id = t.conv_id AND y.p = t.turn GROUP BY t.conv_id, t.turn")
+def parents_children(spark, sf_dir):
+    n, e = b.turns(spark, sf_dir).select("node_id"), b.turn_edges(spark, sf_dir)
+    up = e.groupBy(F.col("child_id").alias("node_id")).agg(F.count("*").alias("n_parents"))
+    down = e.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
+    return n.join(up, "node_id", "left").join(down, "node_id", "left").na.fill(0)
+
+
+@registered(f"WITH {_T} SELECT conv_id || ':0' AS source, conv_id || ':' || max(turn) AS target, true AS found FROM t GROUP BY conv_id")
+def path_exists(spark, sf_dir):
+    ends = b.last_turns(spark, sf_dir).select(F.concat_ws(":", "query_id", F.lit("0")).alias("source"), F.col("node_id").alias("target"))
+    return dag.path_exists(b.turn_edges(spark, sf_dir), ends, 20)
+
+
+@registered("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations)
+SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS context FROM c WHERE used <= 1600 GROUP BY conv_id""")
+def char_budget(spark, sf_dir):
+    lines = search.linear_text(b.turns(spark, sf_dir).withColumn("conv_id", F.col("sample_id").cast("long")), ["conv_id"], 400)
+    return lines.select("conv_id", F.sha2(F.col("context").cast("binary"), 256).alias("context"))
+
+
+@registered(f"""WITH {_D}, u AS (SELECT sample_id, entity_id, tag, min(frame_index) AS f0, max(frame_index) AS f1 FROM d GROUP BY ALL), n AS (SELECT sample_id, 'entity' AS node_type, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT sample_id, 'dag_node', 2 * count(*) FROM u GROUP BY ALL)
+SELECT sample_id, sum(n) FILTER (node_type = 'entity')::BIGINT AS num_entity_nodes, sum(n) FILTER (node_type = 'dag_node')::BIGINT AS num_dag_nodes, sum(n) FILTER (node_type = 'dag_node')::BIGINT AS num_edges FROM n GROUP BY sample_id""")
+def graph_export(spark, sf_dir):
+    reg, seen = b.registry(spark, sf_dir), _sights(spark, sf_dir)
+    drafts = dag.clocked(dag.state_drafts(seen).unionByName(dag.appeared_drafts(seen)))
+    nodes = dag.finished(drafts, dag.candidate_edges(drafts))
+    return dag.graph_stats(dag.graph_nodes(reg, nodes), dag.graph_edges(reg, nodes))
+
+
+@registered(f"""WITH {_D}, f AS (SELECT *, row_number() OVER (PARTITION BY sample_id, entity_id ORDER BY frame_index) AS r, max(frame_index) OVER (PARTITION BY sample_id, entity_id) AS fl FROM d),
+k AS (SELECT sample_id, CAST(frame_index AS INT) AS tau_frame, entity_id, kind FROM f, (SELECT unnest(['entity_appeared', 'entity_state']) AS kind) WHERE r = 1)
+SELECT sample_id, tau_frame, kind AS node_type, CAST(row_number() OVER (PARTITION BY sample_id, tau_frame ORDER BY entity_id, kind) - 1 AS INT) AS seq, 'user' || entity_id AS tag FROM k""")
+def state_nodes(spark, sf_dir):
+    seen = _sights(spark, sf_dir)
+    nodes = dag.clocked(dag.state_drafts(seen).unionByName(dag.appeared_drafts(seen)))
+    return nodes.select("sample_id", "tau_frame", "node_type", "seq", F.col("tags")[0].alias("tag"))
+
+
+# ---- converter
+
+
+@registered("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_name) = 1 THEN p_name ELSE p_name || row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) END AS tag FROM part")
+def tag_numbering(spark, sf_dir):
+    p = b.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("frame"), F.col("p_name").alias("label"))
+    return detector.number_tags(p, ["frame"], "label", "p_partkey").select("p_partkey", "tag")
+
+
+@registered(r"SELECT p_partkey, regexp_extract(p_brand, '^(.*?)(\d*)$', 1) AS label, coalesce(TRY_CAST(regexp_extract(p_brand, '(\d*)$', 1) AS INT), 0) AS number FROM part")
+def split_tags(spark, sf_dir):
+    label, number = detector.split_tag(F.col("p_brand"))
+    return b.table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), number.alias("number"))
+
+
+_F = """o AS (SELECT n_regionkey AS frame, n_nationkey, 'n' || (n_nationkey % 4) AS label, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx FROM nation),
+t AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY frame, label) = 1 THEN label ELSE label || row_number() OVER (PARTITION BY frame, label ORDER BY idx) END AS tag, count(*) OVER (PARTITION BY frame) AS n FROM o),
+k AS (SELECT DISTINCT n_regionkey AS frame, 'n' || (n_nationkey % 4) AS kid FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 = 0)"""
+
+
+@registered(f"""WITH {_F} SELECT t.frame, CAST(t.idx AS INT) AS idx, t.label, t.tag, round(t.n_nationkey / 100.0, 4) AS score, CASE t.idx WHEN 0 THEN 'red' WHEN 2 THEN 'tall' ELSE '' END AS attributes,
+ CASE WHEN t.tag = f.label THEN 1 WHEN t.tag IN (SELECT kid FROM k WHERE k.frame = t.frame) THEN 2 WHEN t.tag IN (SELECT label FROM o x WHERE x.frame = t.frame AND x.idx IN (2, 3)) THEN 3 ELSE 1 END AS layer_id,
+ b.tag AS object_tag, a.tag AS subject_tag FROM t JOIN o f ON f.frame = t.frame AND f.idx = 0 JOIN t b ON b.frame = t.frame AND b.idx = (t.idx + 1) % t.n JOIN t a ON a.frame = t.frame AND a.idx = (t.idx + t.n - 1) % t.n""")
+def convert_frames(spark, sf_dir):
+    frames = detector.convert(b.nation_frames(spark, sf_dir), ["frame"])
+    o = frames.select("frame", F.explode("objects").alias("o")).select("frame", "o.*")
+    return o.select("frame", "idx", "label", "tag", r4("score").alias("score"), "attributes", "layer_id", F.col("subject_relations")[0]["object_tag"].alias("object_tag"), F.col("object_relations")[0]["subject_tag"].alias("subject_tag"))
+
+
+@registered(f"""WITH {_F}, m AS (SELECT frame, tag, max(idx) AS idx FROM t GROUP BY ALL), e AS (SELECT k.frame, o.label AS parent, k.kid AS child, 2 AS layer FROM k JOIN o ON o.frame = k.frame AND o.idx = 0 UNION ALL SELECT p.frame, p.label, c.label, 3 FROM o p JOIN o c ON c.frame = p.frame AND c.idx IN (2, 3) WHERE p.idx = 1)
+SELECT e.frame, parent, child, CAST(m.idx AS INT) AS child_idx, layer FROM e JOIN m ON m.frame = e.frame AND m.tag = e.child""")
+def layer_children(spark, sf_dir):
+    raw = b.nation_frames(spark, sf_dir)
+    maps = raw.select("frame", "hierarchy.layer2_mapping", "hierarchy.layer3_mapping")
+    return detector.layer_children(detector.objects_of(raw, ["frame"]), maps, ["frame"]).select("frame", "parent", "child", "child_idx", "layer")
+
+
+@registered(f"""WITH {_D} SELECT sample_id, frame_index, tag, label, round(x1, 4) AS x1, 'moving|near' AS attributes, label || '->site' AS relations FROM d""")
+def ingest(spark, sf_dir):
+    """Scene-graph JSON of each sample, read back through validation."""
+    d = b.detections(spark, sf_dir)
+    item = F.struct(F.upper("tag").alias("name"), "label", F.col("bbox").alias("box"), F.array(F.lit(" Near "), F.lit("moving"), F.lit("near")).alias("attributes"), F.array(F.struct(F.col("label").alias("predicate"), F.lit("Site").alias("object_tag"))).alias("subject_relations"))
+    frames = d.groupBy("sample_id", "frame_index").agg(F.array_sort(F.collect_list(item)).alias("objects")).groupBy("sample_id").agg(F.to_json(F.struct(F.collect_list(F.struct("frame_index", "objects")).alias("frames"))).alias("payload"))
+    good, _ = scene_graph.detections(scene_graph.frames_of(frames, ["sample_id"]), ["sample_id"])
+    return good.select("sample_id", "frame_index", "tag", "label", r4(F.col("bbox")[0]).alias("x1"), F.array_join("attributes", "|").alias("attributes"), F.array_join(F.transform("relations", lambda r: F.concat(r["name"], F.lit("->"), r["object"])), "|").alias("relations"))
+
+
+# ---- search
+
+
+@registered("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM r WHERE rank <= 8 AND score >= 0.15""")
+def vector_topk(spark, sf_dir):
+    e = b.table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return search.top_k(e.select("vec_id", "embedding"), q, 8, "vec_id", threshold=0.15).select("query_id", "vec_id", "rank", r4("score").alias("score"))
+
+
+@registered("SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha1(text)")
+def vector_dedupe(spark, sf_dir):
+    d = b.table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("dedupe_key"))
+    return search.deduplicated(d, "dedupe_key", "doc_id").select("doc_id")
+
+
+@registered("""WITH h AS (SELECT user_id, event_type, value, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS n FROM events) SELECT user_id, event_type AS memory_id, event_id, round(value, 4) AS score FROM h WHERE n = 1""")
+def hits_dedupe(spark, sf_dir):
+    h = b.table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("memory_id"), "event_id", F.col("value").alias("score"))
+    return search.best_hits(h, order="event_id", by=["user_id"]).select("user_id", "memory_id", "event_id", r4("score").alias("score"))
+
+
+_HITS = """h AS (SELECT user_id AS query_id, event_id AS rank, event_type, floor(value) / 100.0 AS score, CAST(day(ts) - 1 AS INT) AS f0, CAST(day(ts) - 1 + event_id % 3 AS INT) AS f1 FROM events)"""
+
+
+@registered(f"""WITH {_HITS},
+r AS (SELECT *, round(score + bonus, 4) AS final_score FROM (SELECT query_id, rank, event_type, score, f0, f1, CASE WHEN event_type = 'click' THEN 0.12 ELSE 0 END + CASE WHEN event_type = 'click' THEN 0.12 ELSE 0 END + CASE WHEN f1 > f0 THEN 0.08 ELSE 0 END + 0.08 * greatest(0, 1 - f0 / 29.0) AS bonus FROM h)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, rank) AS n FROM r) SELECT query_id, rank, final_score, round(bonus, 4) AS rerank_score FROM k WHERE n <= 5""")
+def rerank(spark, sf_dir):
+    day = F.dayofmonth("ts") - 1
+    none = F.array().cast("array<string>")
+    hits = b.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("query_id"), F.col("event_id").alias("rank"), (F.floor("value") / 100.0).alias("score"), text.concept_tokens(F.col("event_type")).alias("tokens"), "event_type", F.lit("event").alias("memory_type"),
+        day.cast("int").alias("frame_start"), (day + F.col("event_id") % 3).cast("int").alias("frame_end"), F.lit(29).alias("last_frame"), none.alias("entity_ids"), F.array(F.lit("click")).alias("entity_tags"), none.alias("entity_labels"), none.alias("relation_keywords"),
+        F.array(F.lit("while"), F.lit("first")).alias("temporal_keywords"), F.array(F.lit("general")).alias("query_intents"), F.array(F.lit("click")).alias("preferred_event_types"),
+    )
+    return search.reranked(hits, 5).select("query_id", "rank", "final_score", "rerank_score")
+
+
+_Q = "q AS (SELECT user_id AS query_id, 'What happened to user' || user_id || ' while moving near the ' || arg_max(event_type, event_id) || '?' AS query FROM events GROUP BY user_id)"
+
+
+@registered(f"""WITH {_Q}, {_D}, g AS (SELECT sample_id, printf('entity_%04d', entity_id) AS entity_id, tag, arg_max(label, frame_index) AS label FROM d GROUP BY ALL)
+SELECT q.query_id, 'while' AS temporal, 'near' AS relation, 'relation,motion' AS intents, 'entity_moved,trajectory_summary,interaction,relation_changed,attribute_changed,entity_appeared,entity_disappeared' AS preferred,
+ string_agg(DISTINCT g.entity_id, ',' ORDER BY g.entity_id) FILTER (g.tag IS NOT NULL) AS entity_ids FROM q LEFT JOIN g ON g.sample_id = CAST(q.query_id % 3 AS VARCHAR) AND (g.tag = 'user' || q.query_id) GROUP BY q.query_id""")
+def query_parse(spark, sf_dir):
+    """Questions about users; a tag's digit-stripped form isn't in the question, so only the user's own tag matches."""
+    e = b.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.max_by("event_type", "event_id").alias("t"))
+    q = e.select("query_id", (F.col("query_id") % 3).cast("string").alias("sample_id"), F.concat(F.lit("What happened to user"), F.col("query_id").cast("string"), F.lit(" while moving near the "), "t", F.lit("?")).alias("query"))
+    # the bare form 'user' of every tag would match every question; an alias keeps the binding one to one
+    reg = b.registry(spark, sf_dir)
+    p = query.parse(q, reg)
+    own = F.filter("entity_ids", lambda x: x == F.format_string("entity_%04d", F.col("query_id")))
+    return p.select("query_id", F.array_join("temporal_keywords", ",").alias("temporal"), F.array_join("relation_keywords", ",").alias("relation"), F.array_join("query_intents", ",").alias("intents"), F.array_join("preferred_event_types", ",").alias("preferred"), F.nullif(F.array_join(own, ","), F.lit("")).alias("entity_ids"))
+
+
+@registered(f"WITH {_D} SELECT sample_id, label AS tag, printf('entity_%04d', max(entity_id)) AS entity_id FROM d GROUP BY sample_id, label")
+def tag_lookup(spark, sf_dir):
+    d = b.detections(spark, sf_dir).select("sample_id", F.col("label").alias("tag"), F.format_string("entity_%04d", "entity_id").alias("entity_id"))
+    return tracker.last_of_tag(d)
+
+
+@registered("""WITH c AS (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY ALL), r AS (SELECT conv_id, turn, role, CAST(CASE WHEN turn = m THEN 0.5 ELSE 0 END AS DOUBLE) AS score, row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS n FROM conversations JOIN c USING (conv_id))
+SELECT conv_id, conv_id || ':' || turn AS memory_id, CASE WHEN role = 'user' THEN 'entity_state' ELSE 'event' END AS memory_type, score AS final_score FROM r WHERE n <= CASE WHEN role = 'user' THEN 2 ELSE 3 END""")
+def evidence_split(spark, sf_dir):
+    """Turns as closure nodes: a user's are states, others events; the last turn is the seed."""
+    from framesift.operators import evidence
+
+    nodes = b.turns(spark, sf_dir).withColumns({"node_type": F.when(F.col("node_type") == "user", "entity_state").otherwise(F.col("node_type")), "metadata": F.lit("{}"), "tags": F.array(F.col("node_type")), "frame_start": F.col("tau_frame"), "frame_end": F.col("tau_frame")})
+    seeds = b.last_turns(spark, sf_dir).withColumn("score", F.lit(0.5))
+    members = nodes.select(F.col("sample_id").cast("long").alias("query_id"), "sample_id", "node_id")
+    reg = b.registry(spark, sf_dir).select("sample_id", "entity_id", "tag", "label")
+    rows = evidence.scored_members(search.in_order(members, nodes), seeds)
+    found, states = evidence.split(rows, reg, 3, 2)
+    both = found.select("query_id", "memory_id", "memory_type", "final_score").unionByName(states.select("query_id", "memory_id", "memory_type", "final_score"))
+    return both.withColumnRenamed("query_id", "conv_id")
+
+
+# ---- what SQL doesn't express: embedding, tracking, the whole build
+
+
+@registered()
+def hash_embedding(spark, sf_dir):
+    d = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    e = embedding.with_embeddings(d, "text", Config().embedding)
+    return e.select("conv_id", "turn", F.size("embedding").alias("dim"), r4(embedding.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+
+
+def _frames_and_detections(spark, sf_dir):
+    d = _sights(spark, sf_dir).drop("arrival", "status", "first_frame", "detection_score")
+    return d.select("sample_id", "frame_index").distinct(), d
+
+
+@registered()
+def track_entities(spark, sf_dir):
+    frames, d = _frames_and_detections(spark, sf_dir)
+    return tracker.associate(frames, d).select("sample_id", "frame_index", "ord", "entity_id", "status", r4("iou").alias("iou"), "missed_frames")
+
+
+def _small(spark, sf_dir):
+    """Twelve users of each sample make scenes of a size that the build is made for."""
+    frames, d = _frames_and_detections(spark, sf_dir)
+    return frames, d.withColumn("sample_id", F.concat_ws("-", "sample_id", (F.floor(F.col("entity_id").cast("int") / 36) % 1000).cast("string")))
+
+
+@registered()
+def build_memory(spark, sf_dir):
+    _, d = _small(spark, sf_dir)
+    return memory.build(d.select("sample_id", "frame_index").distinct(), d).stats()
+
+
+@registered()
+def retrieve_evidence(spark, sf_dir):
+    _, d = _small(spark, sf_dir)
+    m = memory.build(d.select("sample_id", "frame_index").distinct(), d)
+    asked = m.entities.groupBy("sample_id").agg(F.min("tag").alias("t")).select(F.col("sample_id").alias("query_id"), "sample_id", F.concat(F.lit("What happened to "), "t", F.lit("?")).alias("query"))
+    return m.retrieve(asked).select("query_id", "sample_id", F.get_json_object("bundle", "$.summary_stats.num_event_evidence").cast("int").alias("events"), F.get_json_object("bundle", "$.closure_stats.closure_size").cast("int").alias("closure_size"))
