@@ -274,7 +274,7 @@ def cuts(docs: DataFrame) -> DataFrame:
         told = told[order]
         edge = np.flatnonzero(np.concatenate(([True], (told["id"][1:] != told["id"][:-1]) | (told["tie"][1:] != told["tie"][:-1])))) if len(told) else np.zeros(0, np.int64)
         pairs = np.stack((told["lo"], told["hi"]), axis=1)
-        blobs = [pairs[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(told)), strict=True)]
+        blobs = [pairs[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(told)], strict=False)]
         return pa.table({"id": pa.array(told["id"][edge], pa.int64()), "tie": pa.array(told["tie"][edge], pa.int64()), "pairs": pa.array(blobs, pa.binary())})
 
     def join(batches):
