@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import slices, stored, text_bytes, word_hashes, words_of
+from framesift.llm.common import slices, stored, text_bytes, trim, word_hashes, words_of
 
 TOP, SUFFIXES, CLASSES, ROUNDS = 1024, 511, 64, 6
 SYMBOLS = TOP + SUFFIXES + 1
@@ -343,6 +343,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column) ->
                     count = np.where(hashes[at] == own, counts[at], 0)
                 told = np.stack([np.bincount(doc, weights=times * x, minlength=n) for x in (count > 0, np.log10(count + 1.0), np.where(count > 0, np.log10(np.maximum(count - D, D)), unknown[cl]))], axis=1)
                 out.append((0, col["part"][i], 1, told.tobytes(), None, None, n))
+        trim()
         return pa.Table.from_batches([_batch(out, names, [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64()])])
 
     def add(group):

@@ -58,6 +58,19 @@ def doc_remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the system: idle workers stay with their executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, most_bytes: int = 4 << 20, text: str = "text"):
     """Record batches cut into runs of rows with about most_bytes of text each (at least one row)."""
     import pyarrow.compute as pc
@@ -73,6 +86,7 @@ def slices(batches, most_bytes: int = 4 << 20, text: str = "text"):
             to = max(at + 1, int(np.searchsorted(lengths, lengths[at] + most_bytes, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, word_hashes, words_of
+from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, trim, word_hashes, words_of
 
 N, THRESHOLD = 5, 0.8
 TRIES, DEPTH, RECALL = 16, 4, 0.9999
@@ -149,6 +149,7 @@ def groups_of(batches, keys: list[str]):
                 held = []
     if held:
         yield pa.Table.from_batches(held)
+    trim()
 
 
 def components(linked: np.ndarray) -> np.ndarray:

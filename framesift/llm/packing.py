@@ -7,7 +7,6 @@ TOLERANCE, the rest is cut to fill it first. The windows left open are merged
 over all partitions in rounds (best fit, longest piece first), a bounded number
 in a task.
 
-
 Tokens come from a public byte-level BPE vocabulary, read as ranks: the ids are
 those of its tokenizer file, which the tests hold them against. A text is cut at single
 spaces between other characters, where that vocabulary's pattern always starts
@@ -22,8 +21,6 @@ longest text, the open windows and the chunk cache.
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 
 import numpy as np
@@ -45,7 +42,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Chunks:
-    """Ids of chunks of text, kept for the life of a worker up to a bound."""
+    """Ids of chunks of text, kept for a task up to a bound."""
 
     def __init__(self, ranks: str):
         import base64
@@ -89,14 +86,6 @@ class Chunks:
         return np.array(got, dtype=np.int64)
 
 
-def chunks_for(path: str) -> Chunks:
-    """The worker's own cache; modules outlive tasks, pickled functions don't."""
-    kept = sys.modules.setdefault("_framesift_kept", types.ModuleType("_framesift_kept"))
-    if getattr(kept, "chunks_path", None) != path:
-        kept.chunks, kept.chunks_path = Chunks(path), path
-    return kept.chunks
-
-
 def token_ids(texts, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, n + 1 offsets) of an Arrow array of strings without nulls; no end ids."""
     import pyarrow as pa
@@ -187,7 +176,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, most_
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        chunks, packer, task, n = chunks_for(path), Packer(window, most_open), TaskContext.get().partitionId(), 0
+        chunks, packer, task, n = Chunks(path), Packer(window, most_open), TaskContext.get().partitionId(), 0
 
         def rows(windows, left: bool):
             nonlocal n

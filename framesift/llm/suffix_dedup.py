@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, text_bytes
+from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, text_bytes, trim
 
 WINDOW, GRAM = 100, 32
 SLICE, PIECE, SHARD_BYTES, BATCH = 3 << 19, 1 << 20, 8 << 20, 40_000
@@ -275,6 +275,7 @@ def cuts(docs: DataFrame) -> DataFrame:
         edge = np.flatnonzero(np.concatenate(([True], (told["id"][1:] != told["id"][:-1]) | (told["tie"][1:] != told["tie"][:-1])))) if len(told) else np.zeros(0, np.int64)
         pairs = np.stack((told["lo"], told["hi"]), axis=1)
         blobs = [pairs[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(told)], strict=False)]
+        trim()
         return pa.table({"id": pa.array(told["id"][edge], pa.int64()), "tie": pa.array(told["tie"][edge], pa.int64()), "pairs": pa.array(blobs, pa.binary())})
 
     def join(batches):
