@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import hidden
+from framesift.llm.common import hidden, stored
 
 WORD = r"[^ \t-\r]+"
 #: Stock phrases of web pages and licences.
@@ -70,8 +70,8 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the failing lines gone from their text; the columns of docs."""
     own, restored = hidden(docs, "doc_id", "text")
     rest = [c for c in own.columns if c not in ("doc_id", "text")]
-    # rand() is never below 0; it only keeps the filter above the counts, which would else be spelled out again for each use
-    told = report(own, keep=rest).withColumn("stays", F.col("kept") & (F.rand(0) >= 0)).filter("stays")
+    # written first: a filter over the verdict would be pushed below the counts and spell them out again for every element
+    told = stored(report(own, keep=rest), "lines").filter("kept")
     return restored(told.withColumnRenamed("kept_text", "text"))
 
 

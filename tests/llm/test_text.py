@@ -1,5 +1,6 @@
 """URL filter, chat formatting, line rules, packing, language identification against brute force and round trips."""
 
+import functools
 import hashlib
 import json
 import random
@@ -136,12 +137,18 @@ def test_line_rules(spark, documents):
 # ---- packing
 
 
-def reference_ids(texts):
+@functools.cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
+    return t
+
+
+def reference_ids(texts):
+    t = tokenizer()
     return [[*x.ids, 1] for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
