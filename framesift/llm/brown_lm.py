@@ -64,7 +64,7 @@ def _by_shard(key: np.ndarray, shards: int):
     shard = (key % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     edge = np.flatnonzero(np.concatenate(([True], shard[order[1:]] != shard[order[:-1]]))) if len(order) else np.zeros(0, np.int64)
-    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+    for a, b in zip(edge, [*edge[1:], len(order)], strict=False):
         yield int(shard[order[a]]), order[a:b]
 
 

@@ -149,7 +149,7 @@ def test_kneser_ney_is_the_definition():
     p = plain_kn(Counter({split(g): c for g, c in grams.items()}), 4, 64)
     for g in [*rnd.sample(keys.tolist(), 30), *(rnd.randrange(64**4) for _ in range(30)), *(k ^ rnd.randrange(8) for k in keys[:30].tolist())]:
         assert bits[g] / kn_quality.STEPS == pytest.approx(-math.log2(p(split(g))), abs=2 / kn_quality.STEPS)
-    row = 2.0 ** (-bits.reshape(-1, 64)[keys[::9] >> 6] / kn_quality.STEPS)
+    row = 2.0 ** (-bits.reshape(-1, 64)[keys[::9] >> 6].astype(float) / kn_quality.STEPS)
     assert np.allclose(row.sum(axis=1), 1, atol=2e-2)
 
 
