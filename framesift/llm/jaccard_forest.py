@@ -30,7 +30,7 @@ from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored,
 
 N, THRESHOLD = 5, 0.8
 TRIES, DEPTH, RECALL = 16, 4, 0.9999
-BUCKET_BLOCK, SET_BLOCK = 2048, 512
+BUCKET_BLOCK, SET_BLOCK = 1024, 512
 MOST_KEYS = 500_000  # rows of (id, hash, class) that are broadcast, some 60 bytes each; beyond it the join shuffles
 _LEAST = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from framesift.llm.common import slices, stored
 
 WINDOW, OPEN, TOLERANCE, END_ID = 2048, 64, 24, 1
-CACHE_CHUNKS, MERGED_AT_ONCE = 400_000, 4096
+CACHE_CHUNKS, MERGED_AT_ONCE = 150_000, 4096
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
 

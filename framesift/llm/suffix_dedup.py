@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, text_bytes, trim
 
 WINDOW, GRAM = 100, 32
-SLICE, PIECE, SHARD_BYTES, BATCH = 3 << 19, 1 << 20, 8 << 20, 40_000
+SLICE, PIECE, SHARD_BYTES, BATCH = 1 << 20, 1 << 20, 8 << 20, 10_000
 MOST_CUTS = 500_000  # rows of cuts that are broadcast, some 50 bytes each; beyond it the join shuffles
 _ODD = 0x9E3779B97F4A7C15
 _LEAST = -(1 << 63)
