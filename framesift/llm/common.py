@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.sources.storage import maybe_broadcast, stored  # noqa: F401  the operators take them from here
+
 #: A-Z and a-z, for lower-casing that leaves all other characters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,26 +27,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='framesift-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: lineage ends there. Spark's JVM deletes it as it ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framesift/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hidden(docs: DataFrame, *used: str):
     """(docs with all columns but those used under names of our own, a function that gives a result the columns of docs again)."""
     names = {c: c if c in used else f"_x{i}" for i, c in enumerate(docs.columns)}
@@ -55,11 +34,6 @@ def hidden(docs: DataFrame, *used: str):
     return own, lambda out: out.select([F.col(n).alias(c) for c, n in names.items()])
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; otherwise Spark shuffles for the join."""
-    return F.broadcast(df) if rows <= most else df.hint("merge")
-
-
 def doc_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
