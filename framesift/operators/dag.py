@@ -63,11 +63,12 @@ def state_drafts(observed: DataFrame) -> DataFrame:
     return draft(made, "entity_state", F.col("z.text"), F.col("a.frame_index"), F.col("rank"), meta, F.array("a.tag"), _no_tags())
 
 
-def appeared_drafts(observed: DataFrame) -> DataFrame:
+def appeared_drafts(observed: DataFrame, after_state: bool = False) -> DataFrame:
+    """A node for each entity that is new, before its state unless after_state."""
     rows = observed.filter("status = 'new'")
     text = _s(F.col("tag"), " (", F.col("label"), ") appeared at frame ", F.col("frame_index"), ", position ", _at(F.col("bbox")))
     meta = F.struct(F.col("tag").alias("entity_tag"), "label", F.col("frame_index").alias("frame_start"), F.col("frame_index").alias("frame_end"), center(F.col("bbox")).alias("position"))
-    return draft(rows, "entity_appeared", text, F.col("frame_index"), rank(F.col("frame_index"), 2, F.col("arrival"), 0), meta, F.array("tag"), _no_tags())
+    return draft(rows, "entity_appeared", text, F.col("frame_index"), rank(F.col("frame_index"), 2, F.col("arrival"), 2 if after_state else 0), meta, F.array("tag"), _no_tags())
 
 
 def movement_fold(rows: DataFrame, keys: list[str], order: list[str], threshold: float) -> DataFrame:
@@ -111,8 +112,8 @@ def relation_calls(seen: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.concat_ws(":", "subject", F.replace(F.lower("predicate"), F.lit(" "), F.lit("_")), "object"))
 
 
-def relation_islands(calls: DataFrame, scope: str = "call") -> DataFrame:
-    """Runs of consecutive calls that hold a relation. A call is a sight's list, or a whole frame, by scope.
+def relation_islands(calls: DataFrame, scope: str = "call", debounce: int = 1) -> DataFrame:
+    """Runs of calls that hold a relation. A call is a sight's list, or a whole frame, by scope; a run ends at the debounce-th call in a row that lacks it.
 
     (sample_id, key, island, start (the first row), start_frame, last_frame, ended (whether a later call lacks it), end_frame, end_phase, end_place)."""
     at = ["frame_index", "phase", "place"] if scope == "call" else ["frame_index"]
@@ -120,9 +121,10 @@ def relation_islands(calls: DataFrame, scope: str = "call") -> DataFrame:
     rows = calls.join(turns, ["sample_id", *at])
     first = F.struct("frame_index", "phase", "place", "item", "subject", "predicate", "object")
     one = rows.groupBy("sample_id", "key", "turn").agg(F.min(first).alias("r"))
-    island = F.col("turn") - F.row_number().over(W.partitionBy("sample_id", "key").orderBy("turn"))
-    runs = one.withColumn("island", island).groupBy("sample_id", "key", "island").agg(F.min("r").alias("start"), F.max("turn").alias("last_turn"), F.max("r.frame_index").alias("last_frame"))
-    after = turns.select("sample_id", (F.col("turn") - 1).alias("last_turn"), F.col("frame_index").alias("end_frame"), *([F.col("phase").alias("end_phase"), F.col("place").alias("end_place")] if scope == "call" else [F.lit(3).alias("end_phase"), F.lit(1 << 20).alias("end_place")]))
+    by_key = W.partitionBy("sample_id", "key").orderBy("turn")
+    one = one.withColumn("fresh", F.coalesce(F.col("turn") - F.lag("turn").over(by_key) > debounce, F.lit(True)))
+    runs = one.withColumn("island", F.sum(F.col("fresh").cast("int")).over(by_key.rowsBetween(W.unboundedPreceding, 0))).groupBy("sample_id", "key", "island").agg(F.min("r").alias("start"), F.max("turn").alias("last_turn"), F.max("r.frame_index").alias("last_frame"))
+    after = turns.select("sample_id", (F.col("turn") - debounce).alias("last_turn"), F.col("frame_index").alias("end_frame"), *([F.col("phase").alias("end_phase"), F.col("place").alias("end_place")] if scope == "call" else [F.lit(3).alias("end_phase"), F.lit(1 << 20).alias("end_place")]))
     return runs.join(after, ["sample_id", "last_turn"], "left").withColumn("ended", F.col("end_frame").isNotNull()).withColumn("start_frame", F.col("start.frame_index"))
 
 

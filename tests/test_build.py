@@ -240,3 +240,15 @@ def test_switches_and_inert_kinds(spark):
     assert "attribute_changed" not in kinds(Config()) and "layer_map" not in kinds(Config())
     assert {"attribute_changed", "layer_map"} <= set(kinds(Config(dag=Dag(compat=False))))
     assert kinds(Config(dag=Dag(kinds=frozenset()))) == ["entity_state"]
+
+
+def test_graph_of_tracked_entities(spark):
+    kind = "sample_id string, frame_index int, tag string, label string, bbox array<double>, attributes map<string,string>, layer_mappings array<struct<parent_tag:string,child_tag:string>>"
+    rows = [("s", i, "m", "man", [x, 0.0, x + 2, 2.0], {"color": "red" if i < 2 else "blue"}, []) for i, x in enumerate((0.0, 4.0, 12.0, 13.0, 40.0, 41.0, 42.0))] + [("s", 0, "b", "ball", [0.0, 0.0, 1.0, 1.0], {}, [("b", "m")])]
+    near = [("s", i, "m", "b", "Is Near") for i in (0, 1, 3)]
+    nodes, edges = memory.graph_of_entities(spark.createDataFrame(rows, kind), spark.createDataFrame(near, "sample_id string, frame_index int, subject string, object string, predicate string"))
+    made = sorted((r["node_type"], r["tau_frame"]) for r in nodes.collect())
+    assert made == [("attribute_changed", 2), ("entity_appeared", 0), ("entity_appeared", 0), ("entity_moved", 2), ("entity_moved", 4), ("entity_state", 0), ("entity_state", 0), ("layer_map", 0), ("relation", 0), ("relation", 3)]
+    by = {(r["node_type"], r["tau_frame"]): r for r in nodes.collect()}
+    assert by["relation", 3]["parent_ids"] == [by["relation", 0]["node_id"]] and by["entity_moved", 4]["parent_ids"] == [by["entity_moved", 2]["node_id"]] and len(by["relation", 0]["parent_ids"]) == 2
+    assert edges.filter("not exported").count() == 2
