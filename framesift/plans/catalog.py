@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framesift.config import Config
 from framesift.functions import embedding, geometry, relations, text
-from framesift.operators import dag, events, query, search, tracker, windows
+from framesift.operators import dag, events, overlaps, query, search, tracker, windows
 from framesift.plans import bindings as b
 from framesift.plans import memory
 from framesift.sources import detector, scene_graph
@@ -55,6 +55,15 @@ def iou_pairs(spark, sf_dir):
     return pairs.select("sample_id", "frame_index", "entity_id", "other", r4(geometry.iou(F.col("bbox"), F.col("box"))).alias("iou"), (F.col("tag") == F.col("other_tag")).alias("same_tag")).filter("iou > 0")
 
 
+@registered(f"""WITH {_D} SELECT a.sample_id, a.frame_index, a.entity_id, c.entity_id AS other, round(i.i / (5000 - i.i), 4) AS iou, a.tag = c.tag AS same_tag
+FROM d a JOIN d c ON a.sample_id = c.sample_id AND c.frame_index = a.frame_index + 1,
+LATERAL (SELECT greatest(0, least(a.x1, c.x1) + 50 - greatest(a.x1, c.x1)) * greatest(0, least(a.y1, c.y1) + 50 - greatest(a.y1, c.y1)) AS i) i WHERE round(CASE WHEN 5000 - i.i <= 1e-8 THEN 0 ELSE i.i / (5000 - i.i) END, 4) > 0""")
+def iou_overlaps(spark, sf_dir):
+    """The pairs of iou_pairs without its window of ids: all that overlap."""
+    pairs = overlaps.overlaps(b.detections(spark, sf_dir), ["entity_id", "tag"])
+    return pairs.select("sample_id", "frame_index", "entity_id", F.col("other_entity_id").alias("other"), r4("iou").alias("iou"), (F.col("tag") == F.col("other_tag")).alias("same_tag")).filter("iou > 0")
+
+
 @registered("""WITH v AS (SELECT event_id, value - 50 AS dx, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) - 50 AS dy FROM events),
 a AS (SELECT *, degrees(atan2(-dy, dx)) AS up, degrees(atan2(dy, dx)) AS ang FROM v)
 SELECT event_id, CASE WHEN abs(dx) < 1 AND abs(dy) < 1 THEN 'stationary' WHEN up >= -22.5 AND up < 22.5 THEN 'right' WHEN up >= 22.5 AND up < 67.5 THEN 'up-right' WHEN up >= 67.5 AND up < 112.5 THEN 'up'
