@@ -7,9 +7,10 @@ blocks of many documents step through them together; a text is parsed whole,
 in blocks of BLOCK symbols.
 
 Symbols are lower-cased letters; any run of other characters is one separator.
-The labelled text of a language is a bounded sample: about SAMPLE_DOCS
-documents, by hash of their id, each up to DOC_CHARS characters, MOST_CHARS
-symbols at most.
+The labelled text of a language is a bounded sample: about SAMPLE_PIECES pieces
+of PIECE characters, drawn by a hash of document and place from all over the
+labelled texts, so that long documents and their ends teach as much as heads.
+Every piece that is drawn trains.
 
 Defined results. A text that is null or has no letter is 'und' with score 0,
 and so is every text when nothing was learned. Ties go to the first language in
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from framesift.llm.common import slices
 
 BLOCK, SYMBOLS = 256, 64
-SAMPLE_DOCS, DOC_CHARS, MOST_CHARS = 60, 1500, 24_000
+SAMPLE_PIECES, PIECE = 100, 500
 PAD, GAP, OTHER, FIRST = 0, 1, 2, 3
 
 
@@ -114,25 +115,35 @@ def phrases(symbols: np.ndarray, doc: np.ndarray, n: int, tables: np.ndarray, ro
     return np.stack([np.bincount(owner, weights=x, minlength=n) for x in count]).astype(np.int64)
 
 
+def sample(rows: DataFrame, counts: dict) -> list[tuple[str, int, str]]:
+    """(lang, hash, piece) of about SAMPLE_PIECES pieces of each language; counts: how many it has."""
+    share = F.lit(0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (SAMPLE_PIECES << 30) // max(n, 1)))).otherwise(share)
+    places = F.sequence(F.lit(0), F.ceil(F.char_length("text") / PIECE).cast("int") - 1)
+
+    def draw(i):
+        return F.pmod(F.xxhash64(F.lit("sample"), "doc_id", i), F.lit(1 << 30))
+
+    drawn = rows.filter("text <> ''").withColumn("share", share).select("lang", "doc_id", "text", F.explode(F.filter(places, lambda i: draw(i) < F.col("share"))).alias("i"))
+    return [(r["lang"], r["k"], r["t"]) for r in drawn.select("lang", draw(F.col("i")).alias("k"), F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("t")).collect()]
+
+
 def learn(docs: DataFrame, training: Column | None = None):
     """(languages, tables, roots, symbol table) from the rows of (doc_id, text, lang) that training selects and that have a lang."""
     rows = docs.filter("lang is not null and text is not null")
     rows = rows.filter(training) if training is not None else rows
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    pieces = F.ceil(F.char_length("text") / PIECE)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}  # a row per language
     if not counts:
         return [], np.zeros(0, np.int32), np.zeros(0, np.int64), symbol_table([])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (SAMPLE_DOCS << 30) // n))).otherwise(share)
-    some = rows.filter(draw < share).select("lang", draw.alias("k"), F.substring("text", 1, DOC_CHARS).alias("t"))
-    got = sorted((r["lang"], r["k"], r["t"]) for r in some.collect())
+    got = sorted(sample(rows, counts))
     table = symbol_table([t for _, _, t in got])
     languages = sorted({x[0] for x in got})
     tables, roots, at = [], [], 0
     for lang in languages:
         symbols, _ = symbols_of([t + " " for x, _, t in got if x == lang], table)
-        own = automaton([s if s != OTHER else GAP for s in symbols.tolist()[:MOST_CHARS]])
+        own = automaton([s if s != OTHER else GAP for s in symbols.tolist()])
         roots.append(at)
         tables.append(own.ravel())
         at += len(own)
@@ -142,7 +153,7 @@ def learn(docs: DataFrame, training: Column | None = None):
 def predict(docs: DataFrame, model, keep=()) -> DataFrame:
     """(doc_id, keep..., lang_pred, score); score is how many phrases less than the second language the first needs, as a share."""
     languages, tables, roots, table = model
-    sent = docs.sparkSession.sparkContext.broadcast((tables, roots, table))  # bounded: SAMPLE_DOCS and MOST_CHARS for each language
+    sent = docs.sparkSession.sparkContext.broadcast((tables, roots, table))  # bounded: SAMPLE_PIECES for each language
 
     def each(batches):
         import pyarrow as pa
