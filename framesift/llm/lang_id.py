@@ -2,11 +2,12 @@
 
 For each language a suffix automaton holds labelled text. A document is parsed
 against each automaton into longest matches; the language that needs the
-fewest phrases for each symbol wins. Automata are transition tables, and all
-blocks of many documents step through them together; a text is parsed whole,
+fewest phrases for each symbol wins. All automata's edges are one hash table, and
+all blocks of many documents step through it together; a text is parsed whole,
 in blocks of BLOCK symbols.
 
-Symbols are lower-cased letters; any run of other characters is one separator.
+Symbols are lower-cased letters, and every letter of the training text has its
+own, in any script; any run of other characters is one separator.
 The labelled text of a language is a bounded sample: about SAMPLE_PIECES pieces
 of PIECE characters, drawn by a hash of document and place from all over the
 labelled texts, so that long documents and their ends teach as much as heads.
@@ -20,7 +21,7 @@ equal results; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,13 +29,17 @@ from pyspark.sql import functions as F
 
 from framesift.llm.common import slices
 
-BLOCK, SYMBOLS = 256, 64
+BLOCK = 256
 SAMPLE_PIECES, PIECE = 100, 500
 PAD, GAP, OTHER, FIRST = 0, 1, 2, 3
+POINTS = 0x32400  # letters end before
+SYMBOL_BITS = 18  # an edge's key is its state, then its symbol
+EDGE = np.dtype([("key", np.int64), ("to", np.int32)], align=True)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def automaton(text: list[int]) -> np.ndarray:
-    """Transitions of the suffix automaton of a symbol list: table[state, symbol], 0 for none; state 0 is the start."""
+def edges_of(text: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(state and symbol of each edge as one number, its target, count of states) of a symbol list's suffix automaton; state 0 is the start."""
     follow, link, length, last = [{}], [-1], [0], 0
     for c in text:
         new = len(follow)
@@ -59,19 +64,72 @@ def automaton(text: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros((len(follow), SYMBOLS), dtype=np.int32)
-    for s, edges in enumerate(follow):
-        for c, t in edges.items():
-            table[s, c] = t
-    table[:, PAD] = np.arange(len(follow))  # padding stays where it is
+    n = sum(map(len, follow))
+    key = np.fromiter((s << SYMBOL_BITS | c for s, edges in enumerate(follow) for c in edges), np.int64, n)
+    return key, np.fromiter((t for edges in follow for t in edges.values()), np.int64, n), len(follow)
+
+
+def _slots(key: np.ndarray, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key.astype(np.uint64) * _ODD) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def hashed(key: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The edges in open addressing, key -1 for an empty slot; at most half are full."""
+    table = np.zeros(1 << max(4, (2 * len(key)).bit_length()), dtype=EDGE)
+    table["key"] = -1
+    slot = _slots(key, len(table))
+    while len(key):
+        free = np.flatnonzero(table["key"][slot] < 0)
+        _, first = np.unique(slot[free], return_index=True)
+        free = free[first]
+        table["key"][slot[free]], table["to"][slot[free]] = key[free], target[free]
+        left = np.ones(len(key), dtype=bool)
+        left[free] = False
+        slot, key, target = (slot[left] + 1) & (len(table) - 1), key[left], target[left]
     return table
 
 
+def automaton(text: list[int]) -> np.ndarray:
+    """The hashed edges of a symbol list's suffix automaton."""
+    key, target, _ = edges_of(text)
+    return hashed(key, target)
+
+
+def follow_edges(table: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Where each state goes by its symbol, 0 if nowhere: the start of the first automaton is nobody's target."""
+    key = state << SYMBOL_BITS | symbol
+    slot = _slots(key, len(table))
+    edge = table[slot]
+    hit = edge["key"] == key
+    out = np.where(hit, edge["to"], 0).astype(np.int64)
+    left = np.flatnonzero(~hit.ravel() & (edge["key"].ravel() >= 0))
+    key, slot = key.ravel()[left], slot.ravel()[left]
+    flat = out.reshape(-1)
+    while len(left):
+        slot = (slot + 1) & (len(table) - 1)
+        edge = table[slot]
+        hit = edge["key"] == key
+        flat[left[hit]] = edge["to"][hit]
+        more = ~hit & (edge["key"] >= 0)
+        left, key, slot = left[more], key[more], slot[more]
+    return out
+
+
+@cache
+def _lowered() -> np.ndarray:
+    """Each code point's lower-case letter, -1 if it is no letter."""
+    return np.fromiter((ord(c.lower()[:1]) if (c := chr(p)).isalpha() else -1 for p in range(POINTS)), np.int32, POINTS)
+
+
 def symbol_table(texts: list[str]) -> np.ndarray:
-    """Symbol of each code point: the most frequent letters of the texts have their own."""
-    seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    own = {c: FIRST + i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - FIRST])}
-    return np.fromiter((own.get(chr(p).lower()[:1], OTHER) if chr(p).isalpha() else GAP for p in range(0x30000)), np.uint8, 0x30000)
+    """Symbol of each code point: every letter of the texts has its own."""
+    low = _lowered()
+    points = np.unique(np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), POINTS - 1))
+    letters = np.unique(low[points][low[points] >= 0])
+    own = np.full(POINTS, OTHER, dtype=np.int32)
+    own[letters] = FIRST + np.arange(len(letters))
+    return np.where(low >= 0, own[low], GAP).astype(np.int32)
 
 
 def symbols_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +142,8 @@ def symbols_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return symbols[~again], doc[~again]
 
 
-def phrases(symbols: np.ndarray, doc: np.ndarray, n: int, tables: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Phrases of each text for each language: [language, text]. tables: all languages' transitions flattened; roots: where each starts."""
+def phrases(symbols: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Phrases of each text for each language: [language, text]. table: all languages' hashed edges; roots: their start states."""
     if not len(symbols):
         return np.zeros((len(roots), n), dtype=np.int64)
     first = np.searchsorted(doc, np.arange(n))
@@ -93,25 +151,29 @@ def phrases(symbols: np.ndarray, doc: np.ndarray, n: int, tables: np.ndarray, ro
     size = np.bincount(doc, minlength=n)
     base = np.concatenate(([0], np.cumsum(-(-size // BLOCK))))
     block = base[doc] + place // BLOCK
-    grid = np.zeros((BLOCK, base[-1]), dtype=np.uint8)
+    grid = np.full((BLOCK, base[-1]), PAD, dtype=np.int32)
     grid[place % BLOCK, block] = symbols
-    start = roots[:, None].astype(np.int64) * SYMBOLS
-    state = np.zeros((len(roots), base[-1]), dtype=np.int64)  # within the language, times SYMBOLS
+    start = roots[:, None].astype(np.int64)
+    opens = follow_edges(table, start, np.arange(int(symbols.max()) + 1, dtype=np.int64)[None, :])  # from the start, by symbol
+    length = np.bincount(block, minlength=base[-1])
+    order = np.argsort(-length, kind="stable")  # long blocks first: those that have ended stay as they are
+    grid, alive = np.ascontiguousarray(grid[:, order]), np.searchsorted(-length[order], -np.arange(BLOCK))
+    state = np.broadcast_to(start, (len(roots), base[-1])).copy()
     count = np.zeros(state.shape, dtype=np.int32)
     for step in range(BLOCK):
-        c = grid[step]
-        go = tables[start + state + c]
+        m = alive[step]
+        if not m:
+            break
+        c, now = grid[step, :m], state[:, :m]
+        go = follow_edges(table, now, c[None, :].astype(np.int64))
         stop = go == 0
-        stop &= (state != 0) | (c != PAD)
-        if stop.any():
-            fresh = np.broadcast_to(tables[start + c], state.shape)
-            count += stop & (state != 0)  # the phrase before ends
-            lone = stop & (fresh == 0)  # a symbol that was never seen is a phrase
-            count += lone
-            go = np.where(stop, fresh, go)
-        state = go.astype(np.int64) * SYMBOLS
-    count += state != 0
-    owner = np.repeat(np.arange(n), np.diff(base))
+        fresh = opens[:, c]
+        open_ = now != start
+        count[:, :m] += stop & open_  # the phrase before ends
+        count[:, :m] += stop & (fresh == 0)  # a symbol that was never seen is a phrase
+        state[:, :m] = np.where(stop, np.where(fresh == 0, start, fresh), go)
+    count += state != start
+    owner = np.repeat(np.arange(n), np.diff(base))[order]
     return np.stack([np.bincount(owner, weights=x, minlength=n) for x in count]).astype(np.int64)
 
 
@@ -130,43 +192,44 @@ def sample(rows: DataFrame, counts: dict) -> list[tuple[str, int, str]]:
 
 
 def learn(docs: DataFrame, training: Column | None = None):
-    """(languages, tables, roots, symbol table) from the rows of (doc_id, text, lang) that training selects and that have a lang."""
+    """(languages, hashed edges, start states, symbol table) from the rows of (doc_id, text, lang) that training selects and that have a lang."""
     rows = docs.filter("lang is not null and text is not null")
     rows = rows.filter(training) if training is not None else rows
     pieces = F.ceil(F.char_length("text") / PIECE)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}  # a row per language
     if not counts:
-        return [], np.zeros(0, np.int32), np.zeros(0, np.int64), symbol_table([])
+        return [], hashed(np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int64), symbol_table([])
     got = sorted(sample(rows, counts))
     table = symbol_table([t for _, _, t in got])
     languages = sorted({x[0] for x in got})
-    tables, roots, at = [], [], 0
+    keys, targets, roots, at = [], [], [], 0
     for lang in languages:
         symbols, _ = symbols_of([t + " " for x, _, t in got if x == lang], table)
-        own = automaton([s if s != OTHER else GAP for s in symbols.tolist()])
+        key, target, states = edges_of(symbols.tolist())
         roots.append(at)
-        tables.append(own.ravel())
-        at += len(own)
-    return languages, np.concatenate(tables), np.array(roots), table
+        keys.append(key + (at << SYMBOL_BITS))
+        targets.append(target + at)
+        at += states
+    return languages, hashed(np.concatenate(keys), np.concatenate(targets)), np.array(roots), table
 
 
 def predict(docs: DataFrame, model, keep=()) -> DataFrame:
     """(doc_id, keep..., lang_pred, score); score is how many phrases less than the second language the first needs, as a share."""
-    languages, tables, roots, table = model
-    sent = docs.sparkSession.sparkContext.broadcast((tables, roots, table))  # bounded: SAMPLE_PIECES for each language
+    languages, edges, roots, table = model
+    sent = docs.sparkSession.sparkContext.broadcast((edges, roots, table))  # bounded: SAMPLE_PIECES for each language
 
     def each(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        tables, roots, table = sent.value
+        edges, roots, table = sent.value
         for part in slices(batches, 2 << 20):
             texts = pc.fill_null(part.column("text"), "").to_pylist()
             n = len(texts)
             best, score = np.zeros(n, np.int64), np.zeros(n)
             if languages:
                 symbols, doc = symbols_of(texts, table)
-                rate = phrases(symbols, doc, n, tables, roots) / np.maximum(np.bincount(doc, minlength=n), 1)
+                rate = phrases(symbols, doc, n, edges, roots) / np.maximum(np.bincount(doc, minlength=n), 1)
                 best = rate.argmin(axis=0)
                 if len(languages) > 1:
                     low = np.sort(rate, axis=0)[:2]

@@ -24,3 +24,20 @@ def test_training_text_is_from_all_over(spark):
     few = docs.filter(F.col("doc_id") < 4)
     whole = lang_id.sample(few, {"aa": 1, "bb": 1})
     assert sum(len(t) for _, _, t in whole) == sum(len(t) for i, t, _ in rows if i < 4)
+
+
+def test_scripts_beyond_the_frequent_letters(spark):
+    # Chinese, Japanese and Korean against much Latin text: each has letters of its own, whatever their share
+    rnd = random.Random(5)
+    signs = {"ja": range(0x3042, 0x3080), "ko": range(0xAC00, 0xAE00), "zh": range(0x4E00, 0x5000), "xg": range(0x30000, 0x30100), "el": range(0x3B1, 0x3C9), "ru": range(0x430, 0x450)}
+    say = lambda x, n: " ".join("".join(rnd.choice(own) for _ in range(3)) for _ in range(n))
+    own = [chr(c) for c in range(97, 123)]
+    rows = [(i, say("en", 400), "en") for i in range(60)]
+    asked = []
+    for k, (lang, span) in enumerate(signs.items()):
+        own = [chr(c) for c in span]
+        rows += [(1000 + 10 * k + j, say(lang, 30), lang) for j in range(5)]
+        asked.append((k, rows[-1][1][:60], lang))
+    model = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = lang_id.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model, keep=["lang"]).collect()
+    assert len(got) == len(signs) and all(r["lang_pred"] == r["lang"] and r["score"] > 0.3 for r in got)
