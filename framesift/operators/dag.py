@@ -9,6 +9,7 @@ along event chains; only reachability needs a loop, over shrinking frontiers.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -260,29 +261,33 @@ def reduced(edges: DataFrame, keys: list[str] | None = None, parent: str = "pare
     return edges.join(gone, [*keys, parent, child], "left_anti")
 
 
-def ancestors(seeds: DataFrame, edges: DataFrame, depth: int, keys: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """(seed's columns but node_id, node_id, depth): nodes that lead to the seeds in at most depth steps, at their least depth; seeds are at 0.
+def ancestors(seeds: DataFrame, edges: DataFrame, depth: int | None, keys: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(seed's columns but node_id, node_id, depth): nodes that lead to the seeds in at most depth steps (None: any number), at their least depth; seeds are at 0.
 
     seeds: (keys..., node_id, any others, which tell searches apart); edges: (keys, parent_id, child_id). allowed: (..., node_id), parents that may be entered."""
     keys = keys or []
     marks = [c for c in seeds.columns if c != "node_id"]
     up = edges.select(*keys, F.col("child_id").alias("node_id"), "parent_id")
     front = seeds.distinct()
-    found = front.withColumn("depth", F.lit(0))
-    for step in range(1, depth + 1):
+    found, recent = front.withColumn("depth", F.lit(0)), None
+    for step in count(1) if depth is None else range(1, depth + 1):
+        seen = found if recent is None else found.unionByName(recent)
         front = front.join(up, [*keys, "node_id"]).select(*marks, F.col("parent_id").alias("node_id")).distinct()
         if allowed is not None:
             front = front.join(allowed, [c for c in allowed.columns if c in front.columns], "left_semi")
-        front = front.join(found.drop("depth"), [*marks, "node_id"], "left_anti")
-        if step % 3 == 0:  # lineage ends now and then, and a search that is over stops
-            front = stored(front, "front")
+        front = front.join(seen.drop("depth"), [*marks, "node_id"], "left_anti")
+        new = front.withColumn("depth", F.lit(step))
+        recent = new if recent is None else recent.unionByName(new)
+        if step % 3 == 0:  # lineage ends now and then, of all that was found as well, and a search that is over stops
+            recent = stored(recent, "front")
+            front = recent.filter(F.col("depth") == step).drop("depth")
+            found, recent = found.unionByName(recent), None
             if front.isEmpty():
                 break
-        found = found.unionByName(front.withColumn("depth", F.lit(step)))
-    return found
+    return found if recent is None else found.unionByName(recent)
 
 
-def path_exists(edges: DataFrame, pairs: DataFrame, depth: int = 100) -> DataFrame:
+def path_exists(edges: DataFrame, pairs: DataFrame, depth: int | None = 100) -> DataFrame:
     """pairs (source, target) with found: whether the source leads to the target; a node leads to itself."""
     up = ancestors(pairs.select("source", "target", F.col("target").alias("node_id")), edges, depth)
     hit = up.filter("node_id = source").select("source", "target").distinct().withColumn("found", F.lit(True))

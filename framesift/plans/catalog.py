@@ -291,7 +291,7 @@ def parents_children(spark, sf_dir):
 @registered(f"WITH {_T} SELECT conv_id || ':0' AS source, conv_id || ':' || max(turn) AS target, true AS found FROM t GROUP BY conv_id")
 def path_exists(spark, sf_dir):
     ends = b.last_turns(spark, sf_dir).select(F.concat_ws(":", "query_id", F.lit("0")).alias("source"), F.col("node_id").alias("target"))
-    return dag.path_exists(b.turn_edges(spark, sf_dir), ends, 20)
+    return dag.path_exists(b.turn_edges(spark, sf_dir), ends, None)
 
 
 @registered("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations)
