@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding of fixed depth with exact verification.
 
 Documents with equal sets of word 5-grams are one class. Each class has a
-signature of TRIES * DEPTH minima. A trie sorts classes by its part of the
-signature; matched prefixes are shortened from DEPTH until pairs at the
-threshold are found with the target recall. Classes that share a prefix and
+signature of TRIES * DEPTH minima. Of each of TRIES parts the first minima are
+one key, as many as a pair at the threshold shares with the target recall by
+formula (depth_for); no trie is sorted and no prefix is shortened by what was
+matched. The minima beyond are only compared. Classes that share a key and
 agree in enough of the signature (six standard deviations below the threshold)
 are linked; connected classes meet once more with their whole sets, and each
 pair of them is verified exactly.
