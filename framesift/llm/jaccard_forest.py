@@ -1,18 +1,31 @@
-"""N-gram Jaccard join by MinHash banding of fixed depth with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Documents with equal sets of word 5-grams are one class. Each class has a
-signature of TRIES * DEPTH minima. Of each of TRIES parts the first minima are
-one key, as many as a pair at the threshold shares with the target recall by
-formula (depth_for); no trie is sorted and no prefix is shortened by what was
-matched. The minima beyond are only compared. Classes that share a key and
-agree in enough of the signature (six standard deviations below the threshold)
-are linked; connected classes meet once more with their whole sets, and each
-pair of them is verified exactly.
-
-No step emits pairs: what leaves a group is a spanning star and a count for each
-member. Groups beyond a block's size are dealt out as pairs of blocks, so a hot
+signature of TRIES labels of DEPTH minima, big-endian, so that labels sort as
+their minima do. A trie is the classes in order of one label; its node at depth d
+is what shares the first d minima. Matching starts at the leaves, the longest
+prefixes, and shortens them a step at a time. At each depth only nodes that gain
+members are looked at (those with two children), and each pair counts in the first
+trie that brings it together. From the pairs found so far, by how much of their
+signatures agree, follows how many a prefix of this length has missed; shortening
+ends as soon as the share found reaches the target recall (recall_of). How deep a
+prefix stays is thus read off the data: near copies alone need longer prefixes
+than pairs at the threshold do.
+
+Classes that agree in enough of the signature (4.5 standard deviations below the
+threshold) are candidates. Connected candidates meet once more with their whole
+sets and are verified exactly. A component of up to SET_BLOCK classes meets as a
+whole; a larger one is sorted by signature and cut into blocks, and only pairs of
+blocks with a candidate pair meet, so a long chain costs as much as its links.
+
+No step emits pairs: what leaves a node is a spanning star and a count for each
+member. Nodes beyond a block's size are dealt out as pairs of blocks, so a hot
 group is many bounded tasks; equal texts count as one class throughout.
 
+Classes and grams are known by 64-bit hashes. For n different sets the odds that
+any two are taken for one are n * n / 2**65: 0.3 in a million for 10**6.5 sets, one
+in 37 for 10**9. A pair of sets of 500 grams that share a false gram: one in 10**13.
+
 Defined results. Words are runs of anything but ASCII white space, A-Z
 lower-cased; a text of one to four words is a single gram. A null text or one
 without words is in no pair: its class is its own id, it has no links. Rows that
@@ -30,20 +43,31 @@ from pyspark.sql import functions as F
 from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, trim, word_hashes, words_of
 
 N, THRESHOLD = 5, 0.8
-TRIES, DEPTH, RECALL = 16, 4, 0.9999
-BUCKET_BLOCK, SET_BLOCK = 1024, 512
+TRIES, DEPTH, RECALL = 16, 6, 0.9999
+MINIMA = TRIES * DEPTH
+NODE_BLOCK, SET_BLOCK = 256, 512
 MOST_KEYS = 500_000  # rows of (id, hash, class) that are broadcast, some 60 bytes each; beyond it the join shuffles
 _LEAST = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MULTIPLY = mix64(np.arange(1, TRIES * DEPTH + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
-_ADD = mix64(np.arange(1001, TRIES * DEPTH + 1001, dtype=np.uint64) * _ODD)
+_MULTIPLY = mix64(np.arange(1, MINIMA + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
+_ADD = mix64(np.arange(1001, MINIMA + 1001, dtype=np.uint64) * _ODD)
 
 
-def depth_for(threshold: float, target: float, tries: int = TRIES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold shares a prefix in some trie with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** tries < target:
-        depth -= 1
-    return depth
+def chance(similarity, depth: int):
+    """The chance that a pair shares a prefix of so many minima in some trie."""
+    return 1 - (1 - np.asarray(similarity, dtype=float) ** depth) ** TRIES
+
+
+def recall_of(found: np.ndarray, depth: int, threshold: float = THRESHOLD) -> float:
+    """The share of pairs from the threshold up that prefixes of this depth find, from those that they found.
+
+    found: pairs by the number of minima in which they agree. A pair of similarity s that was found stands for 1 / chance(s) pairs.
+    One pair at the threshold is added, so with few pairs the formula for the threshold decides."""
+    s = np.arange(MINIMA + 1) / MINIMA
+    n = np.where(s >= threshold, found, 0).astype(float)
+    n[int(np.ceil(threshold * MINIMA))] += 1
+    some = n > 0
+    return float(n.sum() / (n[some] / chance(s[some], depth)).sum())
 
 
 def gram_sets(texts, n: int = N) -> list[np.ndarray]:
@@ -70,52 +94,34 @@ def gram_sets(texts, n: int = N) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """[text, minimum]: TRIES * DEPTH minima of each non-empty set."""
+    """[text, minimum]: MINIMA minima of each non-empty set, one trie's label after another."""
     flat = np.concatenate(sets)
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))[:-1]
-    out = np.empty((len(sets), TRIES * DEPTH), dtype=np.uint32)
+    out = np.empty((len(sets), MINIMA), dtype=">u4")
     with np.errstate(over="ignore"):
-        for k in range(TRIES * DEPTH):
+        for k in range(MINIMA):
             out[:, k] = np.minimum.reduceat(((flat * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), at)
     return out
 
 
-def prefix_keys(signature: np.ndarray, depth: int) -> np.ndarray:
-    """[text, trie]: hash of the trie's number and the first depth minima of its part."""
-    out = np.empty((len(signature), TRIES), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for t in range(TRIES):
-            x = np.full(len(signature), t + 1, dtype=np.uint64)
-            for k in range(depth):
-                x = mix64(x * _ODD + signature[:, t * DEPTH + k])
-            out[:, t] = x
-    return out
-
-
-def sketched(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-    """(id, tie, class, n, keys, signature), a row for each document; class is a 64-bit hash of the whole set, null for an empty one."""
-    depth = depth_for(threshold, target)
+def sketched(docs: DataFrame) -> DataFrame:
+    """(id, tie, class, n, signature), a row for each document; class is a 64-bit hash of the whole set, null for an empty one."""
 
     def sketch(batches):
         import pyarrow as pa
 
         for part in slices(batches, 2 << 20):
             sets = gram_sets(part.column("text"))
-            full = np.array([len(s) > 0 for s in sets])
+            full = [len(s) > 0 for s in sets]
             some = [s for s in sets if len(s)]
             with np.errstate(over="ignore"):
-                own = [mix64(np.array([mix64(s).sum() * _ODD + np.bitwise_xor.reduce(mix64(s + _ODD)) + np.uint64(len(s))], dtype=np.uint64))[0] for s in some]
-            signature = signatures(some) if some else np.zeros((0, TRIES * DEPTH), np.uint32)
-            keys = prefix_keys(signature, depth).view(np.int64).tolist()
-            rank = np.cumsum(full) - 1
-            pick = lambda values: [values[r] if f else None for r, f in zip(rank.tolist(), full.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("tie"), pa.array(pick(np.array(own, dtype=np.uint64).view(np.int64).tolist()), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(pick(keys), pa.list_(pa.int64())), pa.array(pick([s.tobytes() for s in signature]), pa.binary())],
-                names=["id", "tie", "class", "n", "keys", "signature"],
-            )
+                own = iter([int(mix64(np.array([mix64(s).sum() * _ODD + np.bitwise_xor.reduce(mix64(s + _ODD)) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0]) for s in some])
+            signature = iter([s.tobytes() for s in signatures(some)] if some else [])
+            pick = lambda values: [next(values) if f else None for f in full]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(pick(own), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(pick(signature), pa.binary())], names=["id", "tie", "class", "n", "signature"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64("text").alias("tie"), "text")
-    return stored(rows.mapInArrow(sketch, "id long, tie long, class long, n long, keys array<long>, signature binary"), "sketched")
+    return stored(rows.mapInArrow(sketch, "id long, tie long, class long, n long, signature binary"), "sketched")
 
 
 def dealt(rows: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
@@ -184,41 +190,100 @@ def emitted(schema_names, kinds, rows, most: int = 50_000):
         yield batch()
 
 
-def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a spanning star of the classes that share a prefix and agree enough; classes: (class, keys, signature)."""
-    total = TRIES * DEPTH
-    least = max(1, int(np.floor(total * threshold - 6 * np.sqrt(total * threshold * (1 - threshold)))))
-    rows = classes.select("class", F.explode("keys").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = rows.join(sizes, "bucket").join(classes.select("class", "signature"), "class")
-    rows = dealt(rows, "bucket", "size", "class", BUCKET_BLOCK).select("bucket", "i", "j", "class", "signature")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class")
-
-    def link(batches):
-        import pyarrow as pa
-
-        def stars():
-            done = set()
-            for g in groups_of(batches, ["bucket", "i", "j"]):
-                ids = np.asarray(g.column("class"))
-                sign = np.frombuffer(b"".join(g.column("signature").to_pylist()), dtype=np.uint32).reshape(len(ids), total)
-                if len(ids) <= 32:
-                    agree = (sign[:, None, :] == sign[None, :, :]).sum(axis=2, dtype=np.uint8)
-                else:
-                    agree = np.zeros((len(ids), len(ids)), dtype=np.uint8)
-                    for k in range(total):
-                        agree += sign[:, k, None] == sign[None, :, k]
-                label = components(agree >= least)
-                for m, c in enumerate(label.tolist()):
-                    if c != m and (pair := (int(ids[m]), int(ids[c]))) not in done:
-                        if len(done) > 200_000:
-                            done.clear()
-                        done.add(pair)
-                        yield pair
-
-        yield from emitted(["a", "b"], [pa.int64()] * 2, stars())
+def agreement(sign: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of signatures: the minima that agree, the first trie with a common prefix of depth minima (TRIES: none), whether a longer one is common somewhere."""
+    n = len(sign)
+    if n <= 24:
+        same = (sign[:, None] == sign[None]).reshape(n, n, TRIES, DEPTH)
+        near = same[..., :depth].all(axis=3)
+        longer = same[..., : depth + 1].all(axis=(3)).any(axis=2) if depth < DEPTH else np.zeros((n, n), dtype=bool)
+        return same.sum(axis=(2, 3), dtype=np.uint8), np.where(near.any(axis=2), near.argmax(axis=2), TRIES), longer
+    agree, first, longer = np.zeros((n, n), dtype=np.uint8), np.full((n, n), TRIES, dtype=np.uint8), np.zeros((n, n), dtype=bool)
+    for t in range(TRIES):
+        common = np.ones((n, n), dtype=bool)
+        for k in range(DEPTH):
+            column = sign[:, t * DEPTH + k]
+            same = column[:, None] == column[None, :]
+            agree += same
+            if k <= depth:
+                common &= same
+            if k == depth - 1:
+                first[common & (first == TRIES)] = t
+            if k == depth:
+                longer |= common
+    return agree, first, longer
+
+
+def share_of(block: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Which pairs of members count in the share (i, j) of a dealt group: those across its blocks, and those within a block in one of the shares that have it."""
+    within = block[:, None] == block[None, :]
+    if i == j:
+        return within
+    return ~within | ((block == j) & (i == 0) | (block == i) & (i == 0) & (j == 1))[:, None]
+
+
+def node_members(classes: DataFrame, depth: int, whole: bool) -> DataFrame:
+    """Members of the tries' nodes at depth, dealt out and in order of label: (node, trie, i, j, _b, class, signature, more...).
+
+    Only nodes with several children count, or all with several members if whole. classes: (class, signature, more...)."""
+    at = lambda t, n: F.xxhash64(t, F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4 * n)))
+    child = (lambda t: F.col("class")) if whole or depth == DEPTH else (lambda t: at(t, depth + 1))
+    tries = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda t: F.struct(t.alias("trie"), at(t, depth).alias("node"), child(t).alias("child")))
+    rows = classes.select("class", F.explode(tries).alias("x")).select("class", "x.*")
+    # counted before anything meets, so a node that many share is a number for each task
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("child").alias("a"), F.max("child").alias("z")).filter("a <> z").select("node", "size")
+    rows = rows.drop("child").join(sizes, "node").join(classes, "class")
+    rows = dealt(rows, "node", "size", "class", NODE_BLOCK).withColumn("label", F.substring("signature", F.col("trie") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
+    return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "label", "class").drop("label", "size")
+
+
+def _signatures_of(group) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=">u4").reshape(group.num_rows, MINIMA).astype(np.uint32)
+
+
+def least_agreement(threshold: float) -> int:
+    """The minima that a pair at the threshold falls short of once in 300,000 pairs."""
+    return max(1, int(np.floor(MINIMA * threshold - 4.5 * np.sqrt(MINIMA * threshold * (1 - threshold)))))
+
+
+def candidate_links(classes: DataFrame, threshold: float, target: float = RECALL) -> tuple[DataFrame, int]:
+    """((a, b), a spanning star of the candidates of each node; the depth at which the target recall was reached). classes: (class, signature)."""
+    least, found, links, depth = least_agreement(threshold), np.zeros(MINIMA + 1), None, DEPTH
+    while True:
 
-    return stored(rows.mapInArrow(link, "a long, b long").distinct(), "links")
+        def link(batches, depth=depth):
+            import pyarrow as pa
+
+            seen = np.zeros(MINIMA + 1, dtype=np.int64)
+
+            def stars():
+                done = set()
+                for g in groups_of(batches, ["node", "i", "j"]):
+                    ids, block = np.asarray(g.column("class")), np.asarray(g.column("_b"))
+                    agree, first, longer = agreement(_signatures_of(g), depth)
+                    new = (first == g.column("trie")[0].as_py()) & ~longer
+                    counted = np.triu(new & share_of(block, g.column("i")[0].as_py(), g.column("j")[0].as_py()), 1)
+                    np.add(seen, np.bincount(agree[counted], minlength=MINIMA + 1), out=seen)
+                    label = components(new & (agree >= least))
+                    for m in np.flatnonzero(label != np.arange(len(ids))).tolist():
+                        if (pair := (int(ids[m]), int(ids[label[m]]))) not in done:
+                            if len(done) > 200_000:
+                                done.clear()
+                            done.add(pair)
+                            yield (*pair, None, None)
+                for a in np.flatnonzero(seen).tolist():
+                    yield None, None, a, int(seen[a])
+
+            yield from emitted(["a", "b", "agree", "n"], [pa.int64()] * 4, stars())
+
+        told = stored(node_members(classes, depth, False).mapInArrow(link, "a long, b long, agree long, n long"), "links")
+        for r in told.filter("a is null").groupBy("agree").agg(F.sum("n").alias("n")).collect():  # MINIMA rows at most
+            found[r["agree"]] += r["n"]
+        new = told.filter("a is not null").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        if depth == 1 or recall_of(found, depth, threshold) >= target:
+            return stored(links.distinct(), "links"), depth
+        depth -= 1
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -259,47 +324,91 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def block_pairs(members: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((class, block), pairs of blocks (i, j) with a candidate pair) of components that are too large to meet at once: (root, class, signature)."""
+    least = least_agreement(threshold)
+    ordered = members.repartitionByRange("root", "signature").sortWithinPartitions("root", "signature")
+
+    def number(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        at, task = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(task + (at + np.arange(batch.num_rows)) // SET_BLOCK), batch.column("signature")], names=["class", "block", "signature"])
+            at += batch.num_rows
+
+    blocks = stored(ordered.mapInArrow(number, "class long, block long, signature binary"), "blocks")
+
+    def meet(batches):
+        import pyarrow as pa
+
+        def each():
+            done = set()
+            for g in groups_of(batches, ["node", "i", "j"]):
+                block, (agree, _, _) = np.asarray(g.column("block")), agreement(_signatures_of(g), depth)
+                a, b = np.nonzero(np.triu(agree >= least, 1))
+                pairs = np.unique(np.stack((np.minimum(block[a], block[b]), np.maximum(block[a], block[b])), axis=1), axis=0)
+                for pair in map(tuple, pairs.tolist()):
+                    if pair not in done:
+                        if len(done) > 200_000:
+                            done.clear()
+                        done.add(pair)
+                        yield pair
+
+        yield from emitted(["i", "j"], [pa.int64()] * 2, each())
+
+    return blocks.select("class", "block"), node_members(blocks, depth, True).mapInArrow(meet, "i long, j long").distinct()
+
+
+def verified(docs: DataFrame, classes: DataFrame, roots: DataFrame, depth: int, threshold: float) -> DataFrame:
     """(class, links, star, split) of each candidate class: exact links in documents, the least class of its group here, whether its component was split.
 
-    classes: (class, copies, id, tie)."""
+    classes: (class, copies, id, tie, signature)."""
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    keys = stored(roots.join(sizes, "root").join(classes, roots["node"] == classes["class"]).select("id", "tie", "class", "copies", "root", "size"), "candidates")
-    found = maybe_broadcast(keys, keys.count(), MOST_KEYS)
+    members = stored(roots.join(sizes, "root").join(classes, roots["node"] == classes["class"]).select("id", "tie", "class", "copies", "root", "size", F.when(F.col("size") > SET_BLOCK, F.col("signature")).alias("signature")), "candidates")
+    keys = members.filter(F.col("size") <= SET_BLOCK).select("id", "tie", "class", "copies", F.col("root").alias("unit"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("block"))
+    large = members.filter(F.col("size") > SET_BLOCK)
+    if not large.isEmpty():
+        blocks, pairs = block_pairs(large.select("root", "class", "signature"), depth, threshold)
+        sides = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+        cut = large.select("id", "tie", "class", "copies").join(blocks, "class").join(sides, "block")
+        keys = keys.unionByName(cut.select("id", "tie", "class", "copies", F.lit(None).cast("long").alias("unit"), "i", "j", "block"))
+    # one row for each class, so that a text's set is made once
+    units = keys.groupBy("id", "tie", "class", "copies").agg(F.collect_list(F.struct("unit", "i", "j", "block")).alias("units"))
+    units = stored(units, "units")
+    found = maybe_broadcast(units, units.count(), MOST_KEYS)
     on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)) == found["id"]) & (F.xxhash64(docs["text"]) == found["tie"])
-    rows = docs.select("doc_id", "text").join(found, on).select("class", "copies", "root", "size", "text")
+    rows = docs.select("doc_id", "text").join(found, on).select("class", "copies", "units", "text")
 
     def sets(batches):
         import pyarrow as pa
 
         for part in slices(batches, 2 << 20):
             blobs = [s.tobytes() for s in gram_sets(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(blobs, pa.binary())], names=["class", "copies", "root", "size", "grams"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(blobs, pa.binary())], names=["class", "copies", "units", "grams"])
 
-    whole = dealt(rows.mapInArrow(sets, "class long, copies long, root long, size long, grams binary"), "root", "size", "class", SET_BLOCK)
-    whole = whole.select("root", "i", "j", "_b", "class", "copies", "grams", (F.col("size") > SET_BLOCK).alias("split"))
-    whole = whole.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "class")
+    whole = rows.mapInArrow(sets, "class long, copies long, units array<struct<unit: long, i: long, j: long, block: long>>, grams binary")
+    whole = whole.select("class", "copies", "grams", F.explode("units").alias("u")).select("class", "copies", "grams", F.col("u.unit").isNull().alias("split"), F.coalesce("u.unit", F.lit(0)).alias("unit"), "u.i", "u.j", "u.block")
+    keys = ["split", "unit", "i", "j"]
+    whole = whole.repartition(*keys).sortWithinPartitions(*keys, "class")
 
     def check(batches):
         import pyarrow as pa
 
         def each():
-            for g in groups_of(batches, ["root", "i", "j"]):
+            for g in groups_of(batches, keys):
                 ids, first = np.unique(np.asarray(g.column("class")), return_index=True)  # rows that repeat id and text come twice
                 g = g.take(pa.array(first))
                 grams = [np.frombuffer(x, dtype=np.uint64) for x in g.column("grams").to_pylist()]
-                copies, block = np.asarray(g.column("copies")), np.asarray(g.column("_b"))
-                i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+                copies, block = np.asarray(g.column("copies")), np.asarray(g.column("block"))
                 common, size = intersections(grams), np.array([len(x) for x in grams], dtype=np.float64)
                 linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
                 np.fill_diagonal(linked, False)
-                if i != j:  # pairs within a block count in one of the groups that have it
-                    within = block[:, None] == block[None, :]
-                    mine = (block == j) & (i == 0) | (block == i) & (i == 0) & (j == 1)
-                    linked &= ~within | mine[:, None]
+                if g.column("i")[0].as_py() != g.column("j")[0].as_py():
+                    linked &= block[:, None] != block[None, :]
                 links = (linked * copies[None, :]).sum(axis=1)
-                label = components(linked)
-                split = i != j
+                label, split = components(linked), g.column("split")[0].as_py()
                 for k in range(len(ids)):
                     yield int(ids[k]), int(links[k]), int(ids[label[k]]), split
 
@@ -310,10 +419,11 @@ def verified(docs: DataFrame, classes: DataFrame, roots: DataFrame, threshold: f
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
     """(id, tie, doc_id, class_id, class_tie, n_links, copies), a row for each row of docs."""
-    rows = sketched(docs, threshold, target)
-    classes = stored(rows.filter("class is not null").groupBy("class").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie")).alias("least"), F.first("keys").alias("keys"), F.first("signature").alias("signature")).select("class", "copies", "least.*", "keys", "signature"), "classes")
-    roots = stored(connected(candidate_links(classes.select("class", "keys", "signature"), threshold)), "roots")
-    told = verified(docs, classes.select("class", "copies", "id", "tie"), roots, threshold)
+    rows = sketched(docs)
+    classes = stored(rows.filter("class is not null").groupBy("class").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tie")).alias("least"), F.first("signature").alias("signature")).select("class", "copies", "least.*", "signature"), "classes")
+    links, depth = candidate_links(classes.select("class", "signature"), threshold, target)
+    roots = stored(connected(links), "roots")
+    told = verified(docs, classes, roots, depth, threshold)
     whole = told.filter("not split").select("class", "star")
     cut = told.filter("split")
     if not cut.isEmpty():

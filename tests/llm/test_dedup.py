@@ -63,7 +63,7 @@ def groups():
 def test_classes_and_links(spark, documents, monkeypatch, block):
     if block:  # groups beyond a block are dealt out as pairs of blocks
         monkeypatch.setattr(jaccard_forest, "SET_BLOCK", block)
-        monkeypatch.setattr(jaccard_forest, "BUCKET_BLOCK", block)
+        monkeypatch.setattr(jaccard_forest, "NODE_BLOCK", block)
     rows = groups()
     got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_forest.digest(documents(rows)).collect())
     assert got == brute_classes(rows)
@@ -79,8 +79,44 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert jaccard_forest.distinct_documents(documents([])).count() == 0 and jaccard_forest.digest(documents([])).count() == 0
 
 
-def test_prefixes_shorten_to_the_recall():
-    assert jaccard_forest.depth_for(0.8, 0.9999) == 3 and jaccard_forest.depth_for(0.8, 0.5) == 4 and jaccard_forest.depth_for(0.3, 0.9999) == 1
+def test_recall_is_read_off_the_pairs_found():
+    m = jaccard_forest.MINIMA
+    found = np.zeros(m + 1)
+    alone = [jaccard_forest.recall_of(found, d) for d in range(1, 7)]
+    assert alone == sorted(alone, reverse=True) and alone[2] > 0.9999 > alone[3] and alone[5] == pytest.approx(1 - (1 - (77 / 96) ** 6) ** 16)
+    found[m] = 10**6  # copies but for a few words need no short prefixes
+    assert jaccard_forest.recall_of(found, 6) > 0.9999
+    found[77] = 10**6
+    assert jaccard_forest.recall_of(found, 6) < 0.9999
+
+
+def test_prefixes_shorten_only_as_far_as_needed(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 2**32, (300, jaccard_forest.MINIMA)).astype(">u4")
+    close = [(i, r.tobytes()) for i, r in enumerate(base)] + [(1000 + i, np.where(rnd.random(len(r)) < 0.995, r, 7).astype(">u4").tobytes()) for i, r in enumerate(base)]
+    far = close[:300] + [(1000 + i, np.where(rnd.random(len(r)) < 0.81, r, 7).astype(">u4").tobytes()) for i, r in enumerate(base)]
+    links = lambda rows, target: jaccard_forest.candidate_links(spark.createDataFrame(rows, "class long, signature binary"), 0.8, target)
+    assert links(close, 0.9999)[1] == 6
+    deep, shallow = links(far, 0.9), links(far, 0.9999)
+    assert deep[1] > shallow[1] and shallow[0].count() >= deep[0].count() and shallow[0].count() > 280
+
+
+def test_agreement_of_few_is_that_of_many():
+    rnd = np.random.default_rng(2)
+    sign = rnd.integers(0, 2, (60, jaccard_forest.MINIMA)).astype(np.uint32)
+    for depth in (1, 3, 6):
+        many = jaccard_forest.agreement(sign, depth)
+        assert all((a == b[:20, :20]).all() for a, b in zip(jaccard_forest.agreement(sign[:20], depth), many, strict=True))
+
+
+def test_chains_beyond_a_block(spark, documents, monkeypatch):
+    """A chain of texts of which only neighbours are near: one component, of which few blocks meet."""
+    monkeypatch.setattr(jaccard_forest, "SET_BLOCK", 8)
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 100])) for i in range(60)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_forest.digest(documents(rows)).collect())
+    assert got == brute_classes(rows) and {r[1] for r in got} == {0}
 
 
 # ---- suffix-array dedup
