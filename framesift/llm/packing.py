@@ -4,14 +4,16 @@ Each partition keeps a fixed number of open windows. A document is cut into
 whole windows and a rest; the rest goes into the open window that it fits
 best. When none fits, the fullest window is emitted: if its gap is more than
 TOLERANCE, the rest is cut to fill it first. The windows left open are merged
-over all partitions in rounds (best fit, longest piece first), a bounded number
-in a task.
+over all partitions in rounds (best fit, longest piece first), at most
+MERGED_AT_ONCE in a task, until one task holds them or a round brings them down by
+less than a tenth; what is left then stays in the windows that it has.
 
 Tokens come from a public byte-level BPE vocabulary, read as ranks: the ids are
-those of its tokenizer file, which the tests hold them against. A text is cut at single
+those of its tokenizer file as it loads, which the tests hold them against: the
+string of a special token is that token. A text is cut at single
 spaces between other characters, where that vocabulary's pattern always starts
 a new token, so equal chunks are tokenised once; texts with a space beside
-other white space are tokenised as they stand.
+other white space, or a special token's string, are tokenised as they stand.
 
 Defined results. A null text is empty: its document is the end id alone. Rows
 that repeat an id are packed as documents of their own. Extra columns are
@@ -21,6 +23,7 @@ longest text, the open windows and the chunk cache.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -41,10 +44,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: The special tokens of the vocabulary's tokenizer file.
+SPECIALS = {"<|endoftext|>": 50256}
+
+
 class Chunks:
     """Ids of chunks of text, kept for a task up to a bound."""
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, specials: dict[str, int] | None = None):
         import base64
 
         import public_tokenizers
@@ -52,14 +59,15 @@ class Chunks:
 
         with open(ranks, "rb") as lines:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=SPECIALS if specials is None else specials)
+        self.specials = "".join(re.escape(x) + "|" for x in self.encoding.special_tokens_set)
         self.clear()
 
     def clear(self) -> None:
         self.known, self.ids, self.off, self.n = {}, np.zeros(1 << 20, np.uint16), np.zeros(CACHE_CHUNKS * 2 + 1, np.int64), 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.encoding.encode_ordinary(x) for x in texts]
+        return [self.encoding.encode(x, allowed_special="all") for x in texts]
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """Each chunk's number in the cache."""
@@ -92,7 +100,7 @@ def token_ids(texts, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
 
     n = len(texts)
-    odd = np.asarray(pc.match_substring_regex(texts, "(?:[\\pZ\\s\x0b\x1c-\x1f\x85​⁠﻿]) | (?:[\\pZ\\s\x0b\x1c-\x1f\x85​⁠﻿])|^ | $"))
+    odd = np.asarray(pc.match_substring_regex(texts, chunks.specials + "(?:[\\pZ\\s\x0b\x1c-\x1f\x85​⁠﻿]) | (?:[\\pZ\\s\x0b\x1c-\x1f\x85​⁠﻿])|^ | $"))
     lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts).cast(pa.large_string()), " ")
     off = np.asarray(lists.offsets, dtype=np.int64)
     off = off - off[0]
@@ -167,8 +175,8 @@ class Packer:
                 self.emit(at)
 
 
-def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, most_open: int = OPEN) -> DataFrame:
-    """The pieces of all documents with their places: PLACED."""
+def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, most_open: int = OPEN, specials: dict[str, int] | None = None) -> DataFrame:
+    """The pieces of all documents with their places: PLACED. specials: strings that are one token (none: {}; those of the file: None)."""
     path = path or tokenizer_path()
 
     def pack(batches):
@@ -176,7 +184,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, most_
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        chunks, packer, task, n = Chunks(path), Packer(window, most_open), TaskContext.get().partitionId(), 0
+        chunks, packer, task, n = Chunks(path, specials), Packer(window, most_open), TaskContext.get().partitionId(), 0
 
         def rows(windows, left: bool):
             nonlocal n
@@ -209,11 +217,10 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, most_
 
 
 def merged(pieces: DataFrame, window: int, at_once: int = MERGED_AT_ONCE) -> DataFrame:
-    """Places for the pieces of windows left open: rounds of best fit decreasing until one task holds what is left."""
-    out, level = None, 0
+    """Places for the pieces of windows left open: rounds of best fit decreasing until one task holds what is left, or nothing much merges any more."""
+    out, level, count = None, 0, pieces.count()
     while True:
         level += 1
-        count = pieces.count()
         groups = -(-count // at_once)
         last = groups <= 1
 
@@ -247,6 +254,7 @@ def merged(pieces: DataFrame, window: int, at_once: int = MERGED_AT_ONCE) -> Dat
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        pieces = fitted.filter("open").drop("open", "sequence_id", "offset")
-        if pieces.count() >= count * 0.9 and groups > 1:  # what doesn't merge any more ends here
-            at_once = max(at_once * 2, count)
+        rest = fitted.filter("open").drop("open")
+        pieces, before, count = rest.drop("sequence_id", "offset"), count, rest.count()
+        if count > before * 0.9:  # what doesn't merge any more stays as it is, in windows of many tasks
+            return out.unionByName(rest)

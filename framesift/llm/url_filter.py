@@ -24,14 +24,38 @@ MOST_LABELLED = 100_000
 #: The five rules of the query: (host/path prefix, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
-_GOOD = "news library archive journal garden museum school recipes travel weather history science music kitchen forum wiki docs research theatre village thering thonand erthin".split()
-_BAD = "cheap-pills spam-farm casino-bonus free-followers hot-deals payday-loans replica-watches adult-cams crypto-doubler pills-online spam-links bonus-farm cheap-meds link-farm free-casino xxx-videos casino-winner adult-xxx ads-tracker ad-tracking free-betting free-bets".split()
+#: Words of the general language by what sites under such names offer. The hosts of the labelled table are made of them.
+TOPICS_TO_BLOCK = "casino poker slots betting bets jackpot lottery roulette pills viagra pharmacy meds drugs porn adult sex xxx escort cams nude loans payday credit forex crypto bitcoin replica fake counterfeit warez crack torrent spam phishing malware followers clickbait ads adserver tracker banner popup".split()
+LURES = "free cheap best win bonus hot buy fast easy online deals discount farm track store".split()
+TOPICS_TO_ALLOW = "news library archive journal garden museum school recipes travel weather history science music kitchen forum wiki docs research theatre village college hospital council bakery cinema gallery orchestra railway harbour mountain river forest bridge market station football cycling gardening knitting pottery astronomy geology botany chemistry physics grammar poetry novel painting".split()
+ONSETS, VOWELS, CODAS = "b c d f g h k l m n p r s t v w sh th st br".split(), "aeiou", ["", *"n r s t l nt st rd ck m".split()]
+
+
+def _name(i: int) -> str:
+    """The i-th name that means nothing, of two or three syllables by strides."""
+    return "".join(ONSETS[(i * 7 + k * 3 + i // 20) % len(ONSETS)] + VOWELS[(i * 3 + k + i // 5) % 5] + CODAS[(i * 5 + 4 * k) % len(CODAS)] for k in range(2 + i % 2))
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled URLs that the query learns from, made by a rule: host words by kind (1 is to be blocked) in common URL shapes."""
-    shapes = ("https://www.{}.example.org/en/{}", "http://{}.example.net/de/{}.html", "https://blog.{}.example.org/fr/{}/", "http://m.{}.example.com/es/{}?page=2")
-    return [(s.format(h, 100 + 7 * i), label) for label, hosts in ((0, _GOOD), (1, _BAD)) for i, h in enumerate(hosts) for s in shapes]
+    """The small labelled URL table, made by a rule (1 is to be blocked): topics alone and with a lure before or after them; topics to allow
+    alone and in pairs; and names that mean nothing, which are no reason to block."""
+    hosts = [(t, 1) for t in TOPICS_TO_BLOCK]
+    hosts += [(f"{LURES[(i + k) % len(LURES)]}-{t}" if k % 2 else f"{t}-{LURES[(2 * i + k) % len(LURES)]}", 1) for i, t in enumerate(TOPICS_TO_BLOCK) for k in (1, 4)]
+    hosts += [(t, 0) for t in TOPICS_TO_ALLOW] + [(f"{t}-{TOPICS_TO_ALLOW[(3 * i + 5) % len(TOPICS_TO_ALLOW)]}", 0) for i, t in enumerate(TOPICS_TO_ALLOW)]
+    hosts += [(_name(i), 0) for i in range(400)]
+    shapes = ("https://www.{}.example.org/en/{}", "http://{}.example.net/de/{}.html", "https://blog.{}.example.com/fr/{}/", "http://m.{}.example.com/es/{}?page=2")
+    return [(s.format(h, 100 + 7 * i), label) for i, (h, label) in enumerate(dict(hosts).items()) for s in shapes]
+
+
+def parts(url: str) -> tuple[str, str]:
+    """(host, path) of a labelled url, as split_url() gives them."""
+    host, _, path = url.partition("://")[2].partition("/")
+    return host, "/" + path.partition("?")[0]
+
+
+def host_word(url: str) -> str:
+    """The word of a labelled url's host that tells of its kind."""
+    return next(x for x in parts(url)[0].split(".") if x not in ("www", "blog", "m"))
 
 
 def split_url(url):
@@ -70,7 +94,7 @@ def features(hosts, paths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, bucket, count / norm[doc]
 
 
-def fit(labelled: list[tuple[str, str, int]], steps: int = 300, rate: float = 4.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(labelled: list[tuple[str, str, int]], steps: int = 600, rate: float = 8.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and intercept by full-batch gradient descent on (host, path, label); deterministic."""
     doc, bucket, value = features([x[0] for x in labelled], [x[1] for x in labelled])
     y = np.array([x[2] for x in labelled], dtype=float)
