@@ -2,12 +2,17 @@
 
 A record is a JSON object of any known layout. Its nested field paths (list
 items as []) are sorted and hashed; the fingerprint selects a declarative
-mapping, which says where roles and texts stand. Turns are then formatted as
+mapping, which says where roles and texts stand. A fingerprint of no mapping selects
+the mapping with the most paths of those whose paths it all has, so further fields
+(an id, a name) change nothing. Turns are then formatted as
 <turn> role, newline, text </turn> newline, with control strings inside roles
 and texts escaped, so that the output alone gives back every turn.
 
-Defined results. A null text is empty; a null role is the empty role. A record
-that isn't a JSON object or whose fingerprint is unknown gives no turns and
+Defined results. A null or missing text is empty; a null or missing role is the
+empty role; any other value that isn't a string is its JSON text, and so is a list
+item that isn't an object. Halves of surrogate pairs become U+FFFD. A record
+that isn't a JSON object, that is nested too deeply to be read, or whose layout is
+unknown gives no turns: its conversation is reported with what else it has, and
 its fingerprint is counted by unknown_layouts(). Turns of a conversation are
 ordered by turn (nulls first), then by part, role and text; rows that repeat stay.
 A null conversation id is one conversation. Extra columns are ignored. A
@@ -60,26 +65,47 @@ def fingerprint(record) -> str:
 
 
 LAYOUTS = {fingerprint(example): name for name, (example, _, _) in MAPPINGS.items()}
+_PATHS = {name: field_paths(example) - {".turn"} for name, (example, _, _) in MAPPINGS.items()}
+
+
+def layout_of(paths: set[str]) -> str | None:
+    """The mapping with the most paths, all of which are there or lead further; of equals the first in text order."""
+    there = lambda p: p in paths or any(q.startswith((p + ".", p + "[")) for q in paths)
+    fits = [(-len(own), name) for name, own in _PATHS.items() if all(map(there, own))]
+    return min(fits)[1] if fits else None
+
+
+def _whole(text: str) -> str:
+    """text with the halves of surrogate pairs that stand alone as U+FFFD."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _said(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def canonical(text: str | None) -> tuple[str | None, list[tuple[str, str]]]:
     """(fingerprint, turns) of a JSON record."""
     try:
         record = json.loads(text)
-    except (TypeError, ValueError):
-        return None, []
-    if not isinstance(record, dict):
+        if not isinstance(record, dict):
+            return None, []
+        paths = field_paths(record)
+    except (TypeError, ValueError, RecursionError):
         return None, []
-    mark = fingerprint(record)
-    if (name := LAYOUTS.get(mark)) is None:
+    mark = hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+    if (name := LAYOUTS.get(mark) or layout_of(paths)) is None:
         return mark, []
     _, items, fields = MAPPINGS[name]
     turns = []
     for item in record[items] if items else [record]:
+        if not isinstance(item, dict):
+            turns.append(("", _said(item)))
+            continue
         for role, field in fields:
-            said = "\n".join(x for f in field.split("+") if (x := item[f] or "") or "+" not in field)
-            turns.append((role[1:] if role[0] == "=" else item[role] or "", said))
-    return mark, turns
+            said = "\n".join(x for f in field.split("+") if (x := _said(item.get(f))) or "+" not in field)
+            turns.append((role[1:] if role[0] == "=" else _said(item.get(role)), said))
+    return mark, [(_whole(r), _whole(t)) for r, t in turns]
 
 
 def escape(text: str) -> str:
@@ -128,19 +154,19 @@ def unknown_layouts(turns: DataFrame) -> DataFrame:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, part, formatted, loss): a row per turn; loss is the character range under the mask, within the row's piece."""
+    """(conv_id, turn, part, formatted, loss): a row per turn, and an empty one per record without turns; loss is the character range under the mask, within the row's piece."""
 
     def each(batches):
         import pyarrow as pa
 
         for batch in batches:
             c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            out = [format_turn(r or "", t or "") for r, t in zip(c["role"], c["text"], strict=True)]
+            out = [format_turn(r or "", t or "") if p is not None else "" for r, t, p in zip(c["role"], c["text"], c["part"], strict=True)]
             loss = [len(f) - len(CLOSE) - len(escape(t or "")) if r == "assistant" else None for f, r, t in zip(out, c["role"], c["text"], strict=True)]
             ends = [None if at is None else len(f) - len(CLOSE) for at, f in zip(loss, out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("part"), pa.array(out, pa.string()), pa.array(loss, pa.int64()), pa.array(ends, pa.int64()), batch.column("role"), batch.column("text")], names=["conv_id", "turn", "part", "formatted", "loss_from", "loss_to", "role", "text"])
 
-    rows = turns.filter("part is not null").select("conv_id", "turn", "part", "role", "text")
+    rows = turns.select("conv_id", "turn", "part", "role", "text")
     return rows.mapInArrow(each, "conv_id long, turn long, part int, formatted string, loss_from long, loss_to long, role string, text string")
 
 

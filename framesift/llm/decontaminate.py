@@ -4,7 +4,9 @@ The windows of the benchmark are few and broadcast as hash tables, after a
 count. A document is cut into aligned blocks of half a window: every
 occurrence of a window covers at least one whole block, so only a fifth as
 many keys are probed as there are words. A block that hits is verified against
-the exact windows around it.
+the exact windows around it. A benchmark of more windows than MOST_WINDOWS isn't
+broadcast: then only document keys, block numbers and hashes are shuffled, and the
+blocks around a hit are read from the text again.
 
 Defined results. A null text or one without words has no windows and no hits.
 Null item ids count as the empty id; items that repeat an id are one item.
@@ -47,6 +49,15 @@ def seeds_of(windows: DataFrame, block: int) -> DataFrame:
     return w.select(F.explode(grams).alias("seed")).distinct()
 
 
+def _found_by_shuffle(blocks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """blocks (doc_id, text_key, b) with j and seed: a row for the first block, or a null j if there is none, and one for each block whose hash is a seed."""
+    slim = blocks.select("doc_id", "text_key", F.posexplode("b").alias("j", "block")).select("doc_id", "text_key", "j", F.xxhash64(F.lower("block")).alias("probe"))
+    found = slim.join(seeds.hint("merge"), F.col("probe") == F.col("seed")).groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.collect_set("j").alias("js"))
+    each = blocks.join(found, blocks["doc_id"].eqNullSafe(found["hit_id"]) & (blocks["text_key"] == found["hit_key"]), "left")
+    each = each.select("doc_id", "text_key", "b", "js", F.explode(F.expr("if(size(b) = 0, array(cast(null as int)), array_union(array(0), coalesce(js, array())))")).alias("j"))
+    return each.withColumn("seed", F.when(F.array_contains("js", F.col("j")), F.lit(0).cast("long"))).drop("js")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, n_items, items, spans, contaminated), a row for each row of docs.
 
@@ -54,14 +65,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     windows = stored(windows_of(benchmark, n), "windows")
     sizes = sorted(((r["len"] + 1) // 2, r["len"], r["count"]) for r in windows.groupBy("len").count().collect())  # at most n rows
     total = sum(x[2] for x in sizes)
+    few = total <= MOST_WINDOWS
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), normalised(F.col("text")).alias("norm"))
     parts = []
     for block in sorted({x[0] for x in sizes}) or [(n + 1) // 2]:
         lens = [x[1] for x in sizes if x[0] == block]
         blocks = base.select("doc_id", "text_key", F.regexp_extract_all("norm", F.lit(f"[^ ]+(?: [^ ]+){{0,{block - 1}}}"), F.lit(0)).alias("b"))
-        each = blocks.select("*", F.posexplode_outer("b").alias("j", "block")).withColumn("probe", F.xxhash64(F.lower("block")))
-        seeds = maybe_broadcast(seeds_of(windows, block), total * (block + 1), MOST_WINDOWS * (block + 1))
-        hit = each.join(seeds, each["probe"] == seeds["seed"], "left").filter("seed is not null or j is null or j = 0")
+        if few:
+            each = blocks.select("*", F.posexplode_outer("b").alias("j", "block")).withColumn("probe", F.xxhash64(F.lower("block")))
+            seeds = F.broadcast(seeds_of(windows, block))  # block + 1 for each window at most
+            hit = each.join(seeds, each["probe"] == seeds["seed"], "left").filter("seed is not null or j is null or j = 0")
+        else:
+            hit = _found_by_shuffle(blocks, seeds_of(windows, block))
         first = F.expr("j is null or j = 0")
         near = F.expr("split(concat_ws(' ', if(j > 0, b[j - 1], null), b[j], get(b, j + 1)), ' ')")
         last = F.expr(f"if(size(b) > 0, (size(b) - 1) * {block} + size(split(b[size(b) - 1], ' ')), 0)")
@@ -80,8 +95,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    exact = maybe_broadcast(windows.select(F.col("window").alias("own_window"), "items"), total, MOST_WINDOWS)
-    rows = rows.join(exact, rows["window"] == exact["own_window"], "left").filter("p is null or items is not null")
+    exact = windows.select(F.col("window").alias("own_window"), "items")
+    if few:
+        rows = rows.join(F.broadcast(exact), rows["window"] == exact["own_window"], "left").filter("p is null or items is not null")
+    else:  # rows that only tell of their document have no window to join by
+        own = rows.filter("p is null").withColumns({"own_window": F.lit(None).cast("string"), "items": F.lit(None).cast("array<string>")})
+        rows = own.unionByName(rows.filter("p is not null").join(exact.hint("merge"), rows["window"] == exact["own_window"]))
     found = rows.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
         F.count_if(F.col("p").isNull()).alias("copies"),

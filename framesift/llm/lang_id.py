@@ -3,15 +3,17 @@
 For each language a suffix automaton holds labelled text. A document is parsed
 against each automaton into longest matches; the language that needs the
 fewest phrases for each symbol wins. All automata's edges are one hash table, and
-all blocks of many documents step through it together; a text is parsed whole,
-in blocks of BLOCK symbols.
+all blocks of many documents step through it together. The phrases are those of
+the whole text: blocks of BLOCK symbols are parsed as if each began a text, then
+the parse of the block before goes on into each until a phrase of both begins at
+the same symbol, from where on they are one.
 
 Symbols are lower-cased letters, and every letter of the training text has its
 own, in any script; any run of other characters is one separator.
 The labelled text of a language is a bounded sample: about SAMPLE_PIECES pieces
-of PIECE characters, drawn by a hash of document and place from all over the
-labelled texts, so that long documents and their ends teach as much as heads.
-Every piece that is drawn trains.
+of PIECE characters, drawn by a hash of text and place from all over the
+different labelled texts, so that long documents and their ends teach as much as
+heads and copies no more than one of them. Every piece that is drawn trains.
 
 Defined results. A text that is null or has no letter is 'und' with score 0,
 and so is every text when nothing was learned. Ties go to the first language in
@@ -143,7 +145,9 @@ def symbols_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def phrases(symbols: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Phrases of each text for each language: [language, text]. table: all languages' hashed edges; roots: their start states."""
+    """Phrases of each text for each language: [language, text]. table: all languages' hashed edges; roots: their start states.
+
+    A phrase begins at a symbol that doesn't prolong the one before, and after a symbol that was never seen."""
     if not len(symbols):
         return np.zeros((len(roots), n), dtype=np.int64)
     first = np.searchsorted(doc, np.arange(n))
@@ -155,26 +159,64 @@ def phrases(symbols: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray, roo
     grid[place % BLOCK, block] = symbols
     start = roots[:, None].astype(np.int64)
     opens = follow_edges(table, start, np.arange(int(symbols.max()) + 1, dtype=np.int64)[None, :])  # from the start, by symbol
+    opens = np.where(opens == 0, start, opens)
     length = np.bincount(block, minlength=base[-1])
     order = np.argsort(-length, kind="stable")  # long blocks first: those that have ended stay as they are
-    grid, alive = np.ascontiguousarray(grid[:, order]), np.searchsorted(-length[order], -np.arange(BLOCK))
+    alive = np.searchsorted(-length[order], -np.arange(BLOCK))
+    grid = np.ascontiguousarray(grid[:, order])
     state = np.broadcast_to(start, (len(roots), base[-1])).copy()
-    count = np.zeros(state.shape, dtype=np.int32)
+    begins = np.zeros((BLOCK, len(roots), base[-1]), dtype=bool)
     for step in range(BLOCK):
         m = alive[step]
         if not m:
             break
         c, now = grid[step, :m], state[:, :m]
         go = follow_edges(table, now, c[None, :].astype(np.int64))
-        stop = go == 0
-        fresh = opens[:, c]
-        open_ = now != start
-        count[:, :m] += stop & open_  # the phrase before ends
-        count[:, :m] += stop & (fresh == 0)  # a symbol that was never seen is a phrase
-        state[:, :m] = np.where(stop, np.where(fresh == 0, start, fresh), go)
-    count += state != start
-    owner = np.repeat(np.arange(n), np.diff(base))[order]
-    return np.stack([np.bincount(owner, weights=x, minlength=n) for x in count]).astype(np.int64)
+        begins[step, :, :m] = (go == 0) | (now == start)
+        state[:, :m] = np.where(go == 0, opens[:, c], go)
+    count = begins.sum(axis=0, dtype=np.int64)
+    column = np.empty(base[-1], dtype=np.int64)
+    column[order] = np.arange(base[-1])
+    inner = np.ones(base[-1], dtype=bool)
+    inner[base[:-1][size > 0]] = False
+    after = np.flatnonzero(inner)  # blocks that go on with a text, by number
+    lang, at = (x.ravel() for x in np.meshgrid(np.arange(len(roots)), after, indexing="ij"))
+    last = np.ones(base[-1] + 1, dtype=bool)
+    last[:-1] = ~inner
+    spec = state[:, column]  # the state behind each block's own parse, by number
+    came, own = spec.copy(), count[:, column]
+    grid, begins = grid[:, column], begins[:, :, column]
+    while len(at):  # again only for blocks that the parse now comes into in another state
+        own[lang, at], out, met = _carry(table, grid, begins, length, opens, start[:, 0], lang, at, came[lang, at - 1])
+        out = np.where(met, spec[lang, at], out)
+        more = (out != came[lang, at]) & ~last[at + 1]
+        came[lang, at] = out
+        lang, at = lang[more], at[more] + 1
+    owner = np.repeat(np.arange(n), np.diff(base))
+    return np.stack([np.bincount(owner, weights=x, minlength=n) for x in own]).astype(np.int64)
+
+
+def _carry(table, grid, begins, length, opens, start, lang, at, state):
+    """(phrases that begin in each block (lang, at), the state behind it, whether its own parse was met) if the parse comes in with state."""
+    n, total, met = len(at), np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=bool)
+    state, live = state.copy(), np.arange(n)
+    for step in range(grid.shape[0]):
+        live = live[length[at[live]] > step]
+        if not len(live):
+            break
+        g, b, now = lang[live], at[live], state[live]
+        c = grid[step, b]
+        go = follow_edges(table, now, c.astype(np.int64))
+        new = (go == 0) | (now == start[g])
+        same = new & begins[step, g, b]
+        total[live] += new & ~same
+        if same.any():
+            hit = live[same]
+            total[hit] += begins[step:, lang[hit], at[hit]].sum(axis=0)
+            met[hit] = True
+        state[live] = np.where(go == 0, opens[g, c], go)
+        live = live[~same]
+    return total, state, met
 
 
 def sample(rows: DataFrame, counts: dict) -> list[tuple[str, int, str]]:
@@ -185,18 +227,18 @@ def sample(rows: DataFrame, counts: dict) -> list[tuple[str, int, str]]:
     places = F.sequence(F.lit(0), F.ceil(F.char_length("text") / PIECE).cast("int") - 1)
 
     def draw(i):
-        return F.pmod(F.xxhash64(F.lit("sample"), "doc_id", i), F.lit(1 << 30))
+        return F.pmod(F.xxhash64(F.lit("sample"), "text", i), F.lit(1 << 30))
 
-    drawn = rows.filter("text <> ''").withColumn("share", share).select("lang", "doc_id", "text", F.explode(F.filter(places, lambda i: draw(i) < F.col("share"))).alias("i"))
-    return [(r["lang"], r["k"], r["t"]) for r in drawn.select("lang", draw(F.col("i")).alias("k"), F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("t")).collect()]
+    drawn = rows.filter("text <> ''").withColumn("share", share).select("lang", "text", F.explode(F.filter(places, lambda i: draw(i) < F.col("share"))).alias("i"))
+    return [(r["lang"], r["k"], r["t"]) for r in drawn.select("lang", draw(F.col("i")).alias("k"), F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("t")).distinct().collect()]
 
 
 def learn(docs: DataFrame, training: Column | None = None):
     """(languages, hashed edges, start states, symbol table) from the rows of (doc_id, text, lang) that training selects and that have a lang."""
     rows = docs.filter("lang is not null and text is not null")
     rows = rows.filter(training) if training is not None else rows
-    pieces = F.ceil(F.char_length("text") / PIECE)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}  # a row per language
+    pieces = rows.select("lang", F.xxhash64("text"), F.ceil(F.char_length("text") / PIECE).alias("n")).distinct()
+    counts = {r["lang"]: r["n"] for r in pieces.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row per language
     if not counts:
         return [], hashed(np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(0, np.int64), symbol_table([])
     got = sorted(sample(rows, counts))
@@ -223,8 +265,8 @@ def predict(docs: DataFrame, model, keep=()) -> DataFrame:
         import pyarrow.compute as pc
 
         edges, roots, table = sent.value
-        for part in slices(batches, 2 << 20):
-            texts = pc.fill_null(part.column("text"), "").to_pylist()
+        for part in slices(batches, 2 << 20, "_text"):
+            texts = pc.fill_null(part.column("_text"), "").to_pylist()
             n = len(texts)
             best, score = np.zeros(n, np.int64), np.zeros(n)
             if languages:
@@ -236,12 +278,12 @@ def predict(docs: DataFrame, model, keep=()) -> DataFrame:
                     score = np.where(low[1] > 0, (low[1] - low[0]) / np.maximum(low[1], 1e-9), 0)
                 else:
                     score = np.ones(n)
-            known = [bool(languages) and x for x in part.column("lettered").to_pylist()]
+            known = [bool(languages) and x for x in part.column("_lettered").to_pylist()]
             names = [languages[b] if k else "und" for b, k in zip(best.tolist(), known, strict=True)]
             rest = [part.column(i) for i in range(len(keep) + 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())], names=["doc_id", *keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *keep)) + ", lang_pred string, score double"
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    return docs.select("doc_id", *keep, "text", lettered).mapInArrow(each, schema)
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    return docs.select("doc_id", *keep, F.col("text").alias("_text"), lettered).mapInArrow(each, schema)

@@ -208,7 +208,10 @@ def contaminated():
     return list(enumerate(docs)) + [(3, docs[3]), (3, "other words"), (None, t[0])], items
 
 
-def test_hits(spark, documents):
+@pytest.mark.parametrize("most", [None, 0])
+def test_hits(spark, documents, monkeypatch, most):
+    if most is not None:  # nothing is broadcast
+        monkeypatch.setattr(decontaminate, "MOST_WINDOWS", most)
     rows, items = contaminated()
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = decontaminate.digest(decontaminate.scan(documents(rows), bench))

@@ -114,6 +114,22 @@ def test_conversations_come_back(spark):
         assert r["formatted_chars"] == sum(len(chat_format.format_turn(a, x)) for _, a, x in own)
 
 
+def test_odd_records(spark):
+    deep = "[" * 100_000
+    records = [
+        ('{"prompt": 5, "response": "x"}', [("user", "5"), ("assistant", "x")]), ('{"role": 5, "text": ["x", null], "turn": 0}', [("5", '["x", null]')]), ('{"prompt": "\\ud800 a", "response": "\\ud83d\\ude00"}', [("user", "\ufffd a"), ("assistant", "😀")]), (deep, []), ('{"a":' * 50_000, []),
+        ('{"id": 7, "name": "n", "messages": [{"role": "user", "content": "q"}, {"content": "c"}, "bare", {"role": "assistant", "content": null}]}', [("user", "q"), ("", "c"), ("", "bare"), ("assistant", "")]), ('{"meta": {"x": [1]}, "question": "q", "answer": "a"}', [("user", "q"), ("assistant", "a")]),
+        ('{"system": "s", "prompt": "q", "response": "a", "n": 1}', [("system", "s"), ("user", "q"), ("assistant", "a")]), ('{"messages": {"role": "u", "content": "c"}}', []), ('{"\\ud800": 1}', []),
+    ]
+    assert [chat_format.canonical(r)[1] for r, _ in records] == [w for _, w in records]
+    rows = spark.createDataFrame([(i, 0, r) for i, (r, _) in enumerate(records)], "conv_id long, turn long, record string")
+    turns = chat_format.turns_of(rows)
+    got = {r["conv_id"]: (r["n_turns"], r["formatted_chars"]) for r in chat_format.digest(chat_format.format_turns(turns)).collect()}
+    assert got == {i: (len(w), sum(len(chat_format.format_turn(*t)) for t in w)) for i, (_, w) in enumerate(records)}
+    assert chat_format.unknown_layouts(turns).agg(F.sum("count")).first()[0] == 4
+    assert chat_format.digest(chat_format.format_turns(chat_format.turns_of(rows.limit(0)))).count() == 0
+
+
 # ---- line rules
 
 
@@ -254,7 +270,69 @@ def test_phrases_are_longest_matches(reference, texts):
     symbols = np.array([code[c] for t in texts for c in t], dtype=np.uint8)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     got = lang_id.phrases(symbols, doc, len(texts), table.ravel(), np.array([0]))[0].tolist()
-    assert got == [sum(brute_phrases(reference, t[i : i + lang_id.BLOCK]) for i in range(0, len(t), lang_id.BLOCK)) for t in texts]
+    assert got == [brute_phrases(reference, t) for t in texts]
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_whole_texts_are_parsed(monkeypatch, block):
+    """Periodic texts whose parse never meets that of a block, and phrases longer than blocks."""
+    monkeypatch.setattr(lang_id, "BLOCK", block)
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abcde") for _ in range(6)) for _ in range(50)]
+    references = ["aaaaaaa", "abcabcabd", "".join(rnd.choice(words) for _ in range(300)), "e"]
+    texts = ["a" * 3000, "", "abc" * 700, references[2], references[2][100:1500] + "zz" + references[2][:700], "".join(rnd.choice("abcdez") for _ in range(2000)), "b"]
+    code = {c: i + 3 for i, c in enumerate("abcdez")}
+    keys, targets, roots, at = [], [], [], 0
+    for r in references:
+        key, target, states = lang_id.edges_of([code[c] for c in r])
+        roots.append(at)
+        keys.append(key + (at << lang_id.SYMBOL_BITS))
+        targets.append(target + at)
+        at += states
+    symbols = np.array([code[c] for t in texts for c in t])
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = lang_id.phrases(symbols, doc, len(texts), lang_id.hashed(np.concatenate(keys), np.concatenate(targets)), np.array(roots))
+    assert got.tolist() == [[brute_phrases(r, t) for t in texts] for r in references]
+
+
+def plain_symbols(text):
+    """Lower-cased letters, runs of anything else as one space."""
+    return re.sub(" +", " ", "".join(c.lower()[:1] if c.isalpha() else " " for c in text))
+
+
+def test_predictions_are_those_of_plain_parsing(spark):
+    """The whole prediction by string search: Latin, Cyrillic, Chinese and Korean text, each language by its own letters and words."""
+    said = {
+        "de": "Der Hund lief über die Straße und die Katze saß auf dem Dach. ", "en": "The dog ran across the street and the cat sat on the roof. ", "ru": "Собака бежала через улицу, а кошка сидела на крыше. ",
+        "zh": "狗跑过街道，猫坐在屋顶上。天气很好。", "ja": "犬は通りを走り、猫は屋根の上に座った。", "ko": "개가 길을 건너 달렸고 고양이는 지붕 위에 앉았다. ",
+    }
+    rnd = random.Random(5)
+    mixed = lambda t, n: "".join(rnd.choice(re.findall(r"\w+|\W+", t) if " " in t else list(t)) + (" " if " " in t else "") for _ in range(n))
+    rows = [(f"{k}{i}", mixed(t, 60), k) for k, t in said.items() for i in range(6)] + [(f"{k}?{i}", mixed(t, n), None) for k, t in said.items() for i, n in enumerate((3, 20, 900))] + [(None, "the cat", None), (None, "Übermut", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = lang_id.learn(docs)
+    counts = {k: sum(-(-len(t) // lang_id.PIECE) for _, t, x in rows if x == k) for k in said}
+    taught = {k: [p for x, _, p in sorted(lang_id.sample(docs.filter("lang is not null"), counts)) if x == k] for k in said}
+    reference = {k: "".join(plain_symbols(t + " ") for t in ts) for k, ts in taught.items()}
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in lang_id.predict(docs, model, keep=["text"]).collect()}
+    for d, t, _ in rows:
+        own = plain_symbols(t)
+        if not own.strip():
+            assert got[d, t] == ("und", 0.0)
+            continue
+        rate = sorted((brute_phrases(reference[k], own) / len(own), k) for k in said)
+        assert got[d, t][0] == rate[0][1] and got[d, t][1] == pytest.approx((rate[1][0] - rate[0][0]) / rate[1][0])
+        assert d is None or d[:2] == got[d, t][0] or len(t) < 20
+    assert set(said) <= {got[d, t][0] for d, t, _ in rows}
+
+
+def test_copies_and_null_ids_teach_once(spark):
+    """A language of one text a thousand times is learned, and what is sent for it is bounded."""
+    rows = [(None, "immer das gleiche hier " * 40, "de")] * 1000 + [(None, f"one more of these {i} words", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, *_ = model = lang_id.learn(docs)
+    assert languages == ["de", "en"] and {r["lang_pred"] for r in lang_id.predict(docs.filter("lang = 'de'").limit(3), model).collect()} == {"de"}
+    assert sum(k == "de" for k, _, _ in lang_id.sample(docs, {"de": 2, "en": 400})) <= 2
 
 
 def test_held_out_accuracy(spark):
