@@ -164,18 +164,67 @@ def test_removal_keeps_whole_characters(spark, documents):
 
 
 def test_levels_find_what_came_before():
-    rnd, levels, seen = np.random.default_rng(1), suffix_dedup.Levels(), set()
+    rnd, levels, seen, at = np.random.default_rng(1), suffix_dedup.Levels(), {}, 0
     for _ in range(40):
         batch = rnd.integers(0, 500, 30).astype(np.uint64)
-        want = []
-        for x in batch.tolist():
+        want, first = [], []
+        for i, x in enumerate(batch.tolist()):
             want.append(x in seen)
-            seen.add(x)
-        assert levels.add(batch).tolist() == want
-    sizes = [len(x) for x in levels.levels]
+            first.append(seen.setdefault(x, at + i))
+        before, earlier = levels.add(batch, np.arange(at, at + len(batch)))
+        assert before.tolist() == want and earlier.tolist() == first
+        at += len(batch)
+    sizes = [len(x) for x, _ in levels.levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
+def judged(rows, shards, hot=None):
+    """{(id, tie): cuts} of rows (id, text), two slices, without Spark."""
+    import pyarrow as pa
+
+    by_shard, out = {}, {}
+    rows = sorted(rows)
+    for part in (rows[::2], rows[1::2]):
+        ids, ties = np.array([r[0] for r in part]), np.zeros(len(part), np.int64)
+        for shard, *row in suffix_dedup.index_slice(ids, ties, pa.array([r[1] for r in part], pa.string()), shards, hot):
+            by_shard.setdefault(shard, []).append(row)
+    for rows_ in by_shard.values():
+        for x in suffix_dedup.judge_shard(rows_).tolist():
+            out.setdefault(x[0], []).append(x[2:])
+    return {d: suffix_dedup._cuts_of([np.array(x, dtype=np.int64).tobytes()]).tolist() for d, x in out.items()}, by_shard
+
+
+def test_hot_anchors_spread_and_change_nothing(spark):
+    """One line between different neighbours in every text: one shard has it all until its anchors are hot."""
+    rnd = random.Random(3)
+    line = "Licensed to whoever may read this, without any warranty at all."
+    rows = [(i, f"{sentence(rnd, 30, 10**7)} {line} {sentence(rnd, 30, 10**7)}" + (" the same end of some texts, " * 4 if i % 7 == 0 else "")) for i in range(400)]
+    plain, a = judged(rows, 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len(t) for _, t in rows)
+    old = suffix_dedup.SHARD_BYTES
+    try:
+        suffix_dedup.SHARD_BYTES = 6_000
+        hot = suffix_dedup.hot_anchors(docs, total, 1)
+    finally:
+        suffix_dedup.SHARD_BYTES = old
+    split, b = judged(rows, 100, hot)
+    size = lambda x: [sum(r[5] + 24 * r[9] for r in rs) for rs in x.values()]
+    want = brute_cuts(rows)
+    assert 0 < len(hot) < 20 and split == plain and {d: sum(b - a for a, b in x) for d, x in split.items()} == {d: w[1] for (d, _), w in want.items() if w[1]}
+    assert max(size(a)) > 1.5 * np.median(size(a)) and max(size(b)) < max(size(a)) and sum(sum(r[9] for r in rs) > 0 for rs in b.values()) > 90
+
+
+def test_weak_fingerprints_change_nothing(monkeypatch):
+    """Equal fingerprints of different strings: runs are compared by bytes, shards judged again."""
+    rnd = random.Random(8)
+    p = sentence(rnd, 60, 10**6)
+    rows = [(i, sentence(rnd, 40, 10**6) + (p[: 150 + i] if i % 3 else p[40:260]) + sentence(rnd, 20, 10**6)) for i in range(30)]
+    want = judged(rows, 4)[0]
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda h, at: h[32][at] % np.uint64(50))
+    assert judged(rows, 4)[0] == want and {d: sum(b - a for a, b in x) for d, x in want.items()} == {d: w[1] for (d, _), w in brute_cuts(rows).items() if w[1]}
+
+
 # ---- decontamination
 
 KEY = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
