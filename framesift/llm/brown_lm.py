@@ -1,17 +1,22 @@
 """Language-model scores from Brown class bigrams.
 
-Every word is a symbol: the TOP most frequent words are symbols of their own,
-all others share one of SUFFIXES symbols by their last bytes. The exchange
-algorithm moves symbols between CLASSES classes as long as the likelihood of
-the class bigrams grows. A text's probability is the product of smoothed class
-transitions and of each word's share of its class, which takes the word's own
-count over all training text, however rare it is.
-
-Counts of the whole vocabulary live in shards by word hash and are never
-gathered in one place. A document looks up its rarer words by shards: map-side,
-each distinct word of a document is asked for once; the TOP words, which any
-hot word is among, are known everywhere. What is sent to the driver is bounded
-by TOP and SUFFIXES: symbol pairs and the most frequent words.
+Classes are found in two steps of the exchange algorithm, which moves words between
+CLASSES classes as long as the likelihood of the class bigrams grows. On the
+driver, the TOP most frequent words are symbols of their own and all others share
+one of SUFFIXES symbols by their last bytes; the symbols are exchanged until none
+moves. Then every other word that occurs at least twice leaves its suffix symbol:
+its contexts, how often each class stands before and after it, are summed in
+shards by word hash, and it moves to the class that gains most, each word against
+the classes that the driver left. So the vocabulary is clustered whole, however large it
+is; only the CLASSES x CLASSES table is sent to the shards. A word that is met once, or
+never, has the class of its suffix symbol.
+
+A text's probability is the product of smoothed class transitions and of each
+word's share of its class, which takes the word's own count over all training text.
+Counts and classes of the whole vocabulary live in shards and are never gathered
+in one place. A slice of documents asks the shards once for each of its distinct
+words but the TOP, which any hot word is among and which are known everywhere. What
+is sent to the driver is bounded by TOP, SUFFIXES and CLASSES.
 
 Words are known by 64-bit hashes. P(w|c) = (count - D) / N_c; what is
 discounted goes to one unknown word for each class, as add-one smoothing has
@@ -37,7 +42,8 @@ TOP, SUFFIXES, CLASSES, ROUNDS = 1024, 511, 64, 6
 SYMBOLS = TOP + SUFFIXES + 1
 END = SYMBOLS - 1
 D, A = 0.5, 4.0
-SLICE, SHARD_BYTES, ROWS_OF_BLOCK, FAN = 2 << 20, 16 << 20, 48, 64
+SLICE, CONTEXT_SLICE, SHARD_BYTES, ROWS_OF_BLOCK, FAN = 2 << 20, 8 << 20, 16 << 20, 48, 64
+WORDS_AT_ONCE = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,13 +115,12 @@ def vocabulary(texts: DataFrame, shards: int) -> DataFrame:
         key, c, t = _add(col("hashes", np.uint64), col("counts", np.int64), col("tails", np.uint16))
         most = np.lexsort((key, -c))[:TOP]
         top = [{"h": int(h), "c": int(n), "t": int(s)} for h, n, s in zip(key[most].view(np.int64), c[most], t[most], strict=True)]
-        tails = np.bincount(t, minlength=SUFFIXES)
-        kinds = [pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("t", pa.int32())])), pa.list_(pa.int64())]
-        row = (group.column("shard")[0].as_py(), key.tobytes(), c.tobytes(), t.tobytes(), len(key), int(c.sum()), top, tails.tolist())
-        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["shard", "hashes", "counts", "tails", "n", "total", "top", "by_tail"])
+        kinds = [pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("t", pa.int32())]))]
+        row = (group.column("shard")[0].as_py(), key.tobytes(), c.tobytes(), t.tobytes(), len(key), int(c.sum()), top)
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["shard", "hashes", "counts", "tails", "n", "total", "top"])
 
     counted = texts.mapInArrow(count, "shard long, hashes binary, counts binary, tails binary")
-    return stored(counted.groupBy("shard").applyInArrow(add, "shard long, hashes binary, counts binary, tails binary, n long, total long, top array<struct<h: long, c: long, t: int>>, by_tail array<long>"), "vocabulary")
+    return stored(counted.groupBy("shard").applyInArrow(add, "shard long, hashes binary, counts binary, tails binary, n long, total long, top array<struct<h: long, c: long, t: int>>"), "vocabulary")
 
 
 def symbols_of(hashes: np.ndarray, tails: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -233,133 +238,316 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS, fi
 
 
 class Model:
-    """top, number, count: sorted hashes of the most frequent words, their symbols and counts; of: classes of symbols;
-    moves: log10 of class transitions; size, kinds: tokens and distinct words of each class; tokens, words: N and V."""
+    """top, number, count: sorted hashes of the most frequent words, their symbols and counts; of: classes of symbols; pairs: the driver's class
+    bigrams; size, kinds: tokens and distinct words of each class; tokens, words: N and V; moves: log10 of class transitions."""
 
-    def __init__(self, top, number, count, of, moves, size, kinds, tokens, words, shards):
-        self.top, self.number, self.count, self.of, self.moves = top, number, count, of, moves
-        self.size, self.kinds, self.tokens, self.words, self.shards = size, kinds, tokens, words, shards
+    def __init__(self, top, number, count, of, pairs, ends, tokens, words, shards):
+        self.top, self.number, self.count, self.of, self.pairs, self.ends = top, number, count, of, pairs, ends
+        self.tokens, self.words, self.shards = tokens, words, shards
+        self.size = self.kinds = self.moves = None
 
 
-def learn(docs: DataFrame, training: Column) -> tuple[Model, DataFrame]:
-    """The model of the texts that training selects, and the sharded vocabulary."""
+def _zip(a: np.ndarray) -> bytes:
+    import pyarrow as pa
+
+    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes, kind, n: int) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind)
+
+
+def contexts(texts: DataFrame, model: Model) -> DataFrame:
+    """(shard, hashes, entries, n): for words that aren't among the most frequent, how often each class stands before (slots from 0) and after them (from CLASSES)."""
+    m = model
+
+    def count(batches):
+        import pyarrow as pa
+
+        for part in slices(batches, CONTEXT_SLICE):
+            words, code, off = words_of(part.column(0), lower=True)
+            hashes = word_hashes(words)
+            symbol = symbols_of(hashes, suffix_of(words), m.top, m.number)
+            s, at = with_ends(symbol[code], off)
+            c = m.of[s].astype(np.int64)
+            rare = np.flatnonzero(s >= TOP)
+            rare = rare[s[rare] != END]
+            place = np.full(len(s), -1)
+            place[np.delete(np.arange(len(s)), at[1:] - 1)] = code
+            word = place[rare]
+            before = np.where(rare > 0, c[rare - 1], m.of[END])
+            key, times = np.unique(np.concatenate((word * (2 * CLASSES) + before, word * (2 * CLASSES) + CLASSES + c[rare + 1])), return_counts=True)
+            word, slot = key // (2 * CLASSES), key % (2 * CLASSES)
+            rows = []
+            for shard, r in _by_shard(hashes[word], m.shards):
+                used, number = np.unique(word[r], return_inverse=True)
+                order = np.argsort(number, kind="stable")
+                parts = (np.bincount(number).astype(np.uint32), slot[r][order].astype(np.uint8), np.minimum(times[r][order], 2**32 - 1).astype(np.uint32))
+                rows.append((shard, hashes[used].tobytes(), b"".join(_size(z := _zip(x)) + z for x in parts), len(r)))
+            yield _batch(rows, ["shard", "hashes", "entries", "n"], [pa.int64(), pa.binary(), pa.binary(), pa.int64()])
+
+    return texts.mapInArrow(count, "shard long, hashes binary, entries binary, n long")
+
+
+def _size(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little")
+
+
+def _entries(hashes: bytes, data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, slot, count) of each entry of a row of contexts()."""
+    own, parts, at = np.frombuffer(hashes, dtype=np.uint64), [], 0
+    for kind, k in ((np.uint32, len(own)), (np.uint8, n), (np.uint32, n)):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(_unzip(data[at + 8 : at + 8 + size], kind, k))
+        at += 8 + size
+    return np.repeat(own, parts[0]), parts[1], parts[2]
+
+
+def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np.ndarray, fixed: int) -> np.ndarray:
+    """The class that each word gains most likelihood in: left and right are its counts of classes before and after it, own is the class it is in.
+
+    The gain of a word in a class is, to first order, the sum of log N_bc over its contexts less its count times the logs of the class's totals;
+    in its own class the word itself is taken out first. The fixed class takes none."""
+    table = pairs + 0.5
+    rows, cols = np.log(table.sum(1)), np.log(table.sum(0))
+    n = left.sum(1)
+    gain = left @ np.log(table) + right @ np.log(table).T - n[:, None] * (rows + cols)[None, :]
+    i = np.arange(len(own))
+    lone_left, lone_right = np.maximum(pairs[:, own].T - left, 0) + 0.5, np.maximum(pairs[own] - right, 0) + 0.5
+    gain[i, own] = (left * np.log(lone_left)).sum(1) + (right * np.log(lone_right)).sum(1) - n * (np.log(lone_left.sum(1)) + np.log(lone_right.sum(1)))
+    gain[:, fixed] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[i, best] > gain[i, own] + 1e-9, best, own)
+
+
+def with_classes(words: DataFrame, told: DataFrame, model: Model) -> DataFrame:
+    """The vocabulary's shards with the class of each word: (shard, hashes, counts, classes, by_class)."""
+    m = model
+    top_class = m.of[m.number] if len(m.top) else np.zeros(0, np.int64)
+
+    def assign(group):
+        import pyarrow as pa
+
+        col = {x: group.column(x).to_pylist() for x in group.schema.names}
+        base = col["kind"].index(0) if 0 in col["kind"] else -1
+        if base < 0:
+            return pa.table({"shard": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "counts": pa.array([], pa.binary()), "classes": pa.array([], pa.binary()), "by_class": pa.array([], pa.list_(pa.struct([("c", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64())])))})
+        hashes, counts, tails = (np.frombuffer(col[x][base], dtype=k) for x, k in (("hashes", np.uint64), ("counts", np.int64), ("entries", np.uint16)))
+        own = m.of[symbols_of(hashes, tails.astype(np.int64), m.top, m.number)].astype(np.int64)
+        frequent = np.zeros(len(hashes), dtype=bool)
+        if len(m.top):
+            at = np.minimum(np.searchsorted(m.top, hashes), len(m.top) - 1)
+            frequent = m.top[at] == hashes
+            own = np.where(frequent, top_class[at], own)
+        got = [_entries(h, e, n) for k, h, e, n in zip(col["kind"], col["hashes"], col["entries"], col["n"], strict=True) if k == 1]
+        if got:
+            key, slot, times = (np.concatenate(x) for x in zip(*got, strict=True))
+            number = np.searchsorted(hashes, key)
+            cell = number * (2 * CLASSES) + slot
+            order = np.argsort(cell, kind="stable")
+            cell, times = cell[order], times[order].astype(np.float64)
+            for a in range(0, len(hashes), WORDS_AT_ONCE):
+                b = min(len(hashes), a + WORDS_AT_ONCE)
+                lo, hi = np.searchsorted(cell, [a * 2 * CLASSES, b * 2 * CLASSES])
+                seen = np.bincount(cell[lo:hi] - a * 2 * CLASSES, weights=times[lo:hi], minlength=(b - a) * 2 * CLASSES).reshape(b - a, 2 * CLASSES)
+                move = np.flatnonzero((counts[a:b] > 1) & ~frequent[a:b])
+                own[a + move] = best_classes(seen[move, :CLASSES], seen[move, CLASSES:], own[a + move], m.pairs, int(m.of[END]))
+        sums, kinds = np.bincount(own, weights=counts, minlength=CLASSES).astype(np.int64), np.bincount(own, minlength=CLASSES)
+        by_class = [{"c": i, "tokens": int(t), "kinds": int(k)} for i, (t, k) in enumerate(zip(sums, kinds, strict=True))]
+        trim()
+        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "hashes": pa.array([hashes.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "classes": pa.array([own.astype(np.uint8).tobytes()], pa.binary()), "by_class": pa.array([by_class], pa.list_(pa.struct([("c", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64())])))})
+
+    none = F.lit(None).cast("binary")
+    rows = words.select("shard", F.lit(0).alias("kind"), "hashes", "counts", F.col("tails").alias("entries"), F.lit(0).cast("long").alias("n"))
+    rows = rows.unionByName(told.select("shard", F.lit(1).alias("kind"), "hashes", none.alias("counts"), "entries", "n"))
+    return stored(rows.groupBy("shard").applyInArrow(assign, "shard long, hashes binary, counts binary, classes binary, by_class array<struct<c: int, tokens: long, kinds: long>>"), "classes")
+
+
+def learn(docs: DataFrame, training: Column, most: int = TOP) -> tuple[Model, DataFrame]:
+    """The model of the texts that training selects, but for its transitions, and the sharded vocabulary with counts and classes. most: symbols of their own, TOP at most."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     texts = docs.filter(training).select("text")
     words = vocabulary(texts, shards)
     sums = words.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    most = words.select(F.explode("top").alias("w")).select("w.*").orderBy(F.desc("c"), "h").limit(TOP).collect()  # TOP rows
-    tails = np.zeros(SUFFIXES, dtype=np.int64)
-    for r in words.select(F.posexplode("by_tail").alias("t", "n")).groupBy("t").agg(F.sum("n").alias("n")).collect():  # SUFFIXES rows
-        tails[r["t"]] = r["n"]
-    for r in most:
-        tails[r["t"]] -= 1
-    hashes = np.array([r["h"] for r in most], dtype=np.int64).view(np.uint64)
+    frequent = words.select(F.explode("top").alias("w")).select("w.*").orderBy(F.desc("c"), "h").limit(most).collect()  # TOP rows
+    hashes = np.array([r["h"] for r in frequent], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    top, number, count = hashes[order], order.astype(np.int64), np.array([r["c"] for r in most], dtype=np.int64)[order]
+    top, number, count = hashes[order], order.astype(np.int64), np.array([r["c"] for r in frequent], dtype=np.int64)[order]
     pairs = bigrams(texts, top, number)
     of = exchange(pairs)
     member = np.zeros((SYMBOLS, CLASSES))
     member[np.arange(SYMBOLS), of] = 1
-    table = member.T @ pairs @ member
-    size = table.sum(0)
-    distinct = np.concatenate((np.arange(TOP) < len(most), tails, [size[of[END]] > 0])).astype(np.float64)
     ends = int(pairs[:, END].sum())
-    prior = (size + 1) / (size.sum() + CLASSES)
-    moves = np.log10((table + A * prior[None, :]) / (table.sum(1)[:, None] + A))
-    model = Model(top, number, count, of, moves, size, member.T @ distinct, (sums["total"] or 0) + ends, (sums["n"] or 0) + (ends > 0), shards)
+    model = Model(top, number, count, of, member.T @ pairs @ member, ends, (sums["total"] or 0) + ends, (sums["n"] or 0) + (ends > 0), shards)
+    words = with_classes(words, contexts(texts, model), model)
+    model.size, model.kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in words.select(F.explode("by_class").alias("x")).groupBy("x.c").agg(F.sum("x.tokens").alias("tokens"), F.sum("x.kinds").alias("kinds")).collect():  # CLASSES rows
+        model.size[r["c"]], model.kinds[r["c"]] = r["tokens"], r["kinds"]
+    model.size[of[END]] += ends
+    model.kinds[of[END]] += ends > 0
     return model, words
 
 
-def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+CODED = "held_out boolean, n_tokens long, n_known long, base_score double, own double, classes binary"
+
+
+def coded(docs: DataFrame, model: Model, words: DataFrame, held_out: Column) -> DataFrame:
+    """(doc_id, CODED), a row for each document: its classes, a byte for each token, and what doesn't depend on transitions: counts of known words,
+    the base score, and the sum of its words' shares of their classes."""
     m = model
     kind = dict(docs.dtypes)["doc_id"]
-    unknown = np.log10(np.where(m.size > 0, D * np.maximum(m.kinds, 1), 1.0))
-    share = -np.log10(np.maximum(m.size, 1))
+    unknown = np.where(m.size > 0, np.log10(D * np.maximum(m.kinds, 1)) - np.log10(np.maximum(m.size, 1)), 0.0)
+    size = np.log10(np.maximum(m.size, 1))
     add_one = float(np.log10(m.tokens + m.words + 1))
-    ends = float(m.size[m.of[END]])
-    names = ["shard", "part", "kind", "a", "b", "c", "n"]
-    schema = "shard long, part long, kind int, a binary, b binary, c binary, n long"
-    top_class = m.of[m.number] if len(m.top) else np.zeros(0, np.int64)
-    known_add, known_own = np.log10(m.count + 1.0), np.log10(m.count - D)
+    ends, end_class = m.ends, int(m.of[END])
+    end_own = float(np.log10(ends - D) - size[end_class]) if ends else 0.0
+    names, kinds = ["shard", "part", "kind", "a", "b", "n", "k"], "shard long, part long, kind int, a binary, b binary, n long, k long"
+    top_class = m.of[m.number].astype(np.int64) if len(m.top) else np.zeros(0, np.int64)
+
+    def types():
+        import pyarrow as pa
+
+        return [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def ask(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        kinds, part_no = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64()], TaskContext.get().partitionId() << 32
+        part_no = TaskContext.get().partitionId() << 32
         for part in slices(batches, SLICE):
             part_no += 1
-            n = part.num_rows
             words, code, off = words_of(part.column("text"), lower=True)
-            hashes = word_hashes(words)
-            symbol = symbols_of(hashes, suffix_of(words), m.top, m.number)
-            s, at = with_ends(symbol[code], off)
-            c = m.of[s]
-            before = np.concatenate(([m.of[END]], c[:-1]))
-            sums = np.concatenate(([0.0], np.cumsum(m.moves[before, c] + share[c])))
-            local = np.zeros((n, 3))  # known, add-one, score
-            local[:, 2] = np.diff(sums[at]) + (np.log10(max(ends - D, 1e-9)) if ends else 0.0)
-            local[:, 1] = np.log10(ends + 1) - add_one * np.diff(at)
-            local[:, 0] = ends > 0
-            doc = np.repeat(np.arange(n), np.diff(off))
-            key, times = np.unique(doc * max(len(words), 1) + code, return_counts=True)
-            doc, word = key // max(len(words), 1), key % max(len(words), 1)
-            place = np.minimum(np.searchsorted(m.top, hashes), max(len(m.top) - 1, 0))
-            frequent = (m.top[place] == hashes)[word] if len(m.top) else np.zeros(len(word), bool)
-            d, w, t = doc[frequent], place[word[frequent]], times[frequent]
-            local[:, 0] += np.bincount(d, weights=t, minlength=n)
-            local[:, 1] += np.bincount(d, weights=t * known_add[w], minlength=n) if len(w) else 0
-            local[:, 2] += np.bincount(d, weights=t * known_own[w], minlength=n) if len(w) else 0
-            doc, word, times = doc[~frequent], word[~frequent], times[~frequent]
+            hashes, tail = word_hashes(words), suffix_of(words)
+            place = np.full(len(words), -1, dtype=np.int16)
+            if len(m.top):
+                at = np.minimum(np.searchsorted(m.top, hashes), len(m.top) - 1)
+                place = np.where(m.top[at] == hashes, at, -1).astype(np.int16)
             ids = pa.BufferOutputStream()
-            table = pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at))], names=["doc_id", "held_out", "n_tokens"])
+            table = pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(off))], names=["doc_id", "held_out", "n_words"])
             with pa.ipc.new_stream(ids, table.schema) as w:
                 w.write_batch(table)
-            rows = [(part_no % m.shards, part_no, 0, local.tobytes(), ids.getvalue().to_pybytes(), None, n)]
-            for shard, r in _by_shard(hashes[word], m.shards):
-                rest = np.stack((doc[r], times[r], m.of[symbol[word[r]]])).astype(np.uint32)
-                rows.append((shard, part_no, 1, hashes[word[r]].tobytes(), pa.compress(rest.tobytes(), codec="zstd", asbytes=True), None, n))
-            yield _batch(rows, names, kinds)
+            local = [_zip(code.astype(np.uint32)), _zip(place), _zip(m.of[TOP + tail].astype(np.uint8)), ids.getvalue().to_pybytes()]
+            rows = [(part_no % m.shards, part_no, 0, b"".join(_size(x) + x for x in local), None, len(code), len(words))]
+            rare = np.flatnonzero(place < 0)
+            for shard, r in _by_shard(hashes[rare], m.shards):
+                rows.append((shard, part_no, 1, hashes[rare[r]].tobytes(), _zip(rare[r].astype(np.uint32)), len(r), 0))
+            yield _batch(rows, names, types())
 
     def look_up(group):
         import pyarrow as pa
 
         col = {x: group.column(x).to_pylist() for x in names}
-        hashes, counts, out = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        hashes, counts, classes, out = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), []
         for i, k in enumerate(col["kind"]):
             if k == 2:
-                hashes, counts = np.frombuffer(col["a"][i], dtype=np.uint64), np.frombuffer(col["b"][i], dtype=np.int64)
+                hashes = np.frombuffer(col["a"][i], dtype=np.uint64)
+                counts, classes = np.frombuffer(col["b"][i], dtype=np.int64, count=len(hashes)), np.frombuffer(col["b"][i], dtype=np.uint8, offset=8 * len(hashes))
         for i, k in enumerate(col["kind"]):
             if k == 0:
-                out.append((0, col["part"][i], 0, col["a"][i], col["b"][i], None, col["n"][i]))
-            elif k == 1:
-                own, n = np.frombuffer(col["a"][i], dtype=np.uint64), col["n"][i]
-                doc, times, cl = np.frombuffer(pa.decompress(col["b"][i], len(own) * 12, codec="zstd", asbytes=True), dtype=np.uint32).reshape(3, -1).astype(np.int64)
-                count = np.zeros(len(own), dtype=np.int64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    count = np.where(hashes[at] == own, counts[at], 0)
-                told = np.stack([np.bincount(doc, weights=times * x, minlength=n) for x in (count > 0, np.log10(count + 1.0), np.where(count > 0, np.log10(np.maximum(count - D, D)), unknown[cl]))], axis=1)
-                out.append((0, col["part"][i], 1, told.tobytes(), None, None, n))
+                out.append((0, col["part"][i], 0, col["a"][i], None, col["n"][i], col["k"][i]))
+            elif k == 1 and len(hashes):
+                own = np.frombuffer(col["a"][i], dtype=np.uint64)
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                hit = hashes[at] == own
+                number = _unzip(col["b"][i], np.uint32, len(own))[hit]
+                told = [_zip(number), _zip(counts[at[hit]]), _zip(classes[at[hit]])]
+                out.append((0, col["part"][i], 1, b"".join(_size(x) + x for x in told), None, len(number), 0))
         trim()
-        return pa.Table.from_batches([_batch(out, names, [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64()])])
+        return pa.Table.from_batches([_batch(out, names, types())])
 
-    def add(group):
+    def cut(data: bytes) -> list[bytes]:
+        out, at = [], 0
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 8], "little")
+            out.append(data[at + 8 : at + 8 + n])
+            at += 8 + n
+        return out
+
+    def assemble(group):
         import pyarrow as pa
 
-        kinds, blobs = group.column("kind").to_pylist(), group.column("a").to_pylist()
-        total = reduce(np.add, (np.frombuffer(x, dtype=np.float64).reshape(-1, 3) for x in blobs))
-        table = pa.ipc.open_stream(group.column("b")[kinds.index(0)].as_py()).read_all()
-        known = pa.array(np.rint(total[:, 0]).astype(np.int64))
-        return pa.table([*table.columns, known, pa.array(np.full(len(total), m.tokens)), pa.array(total[:, 1]), pa.array(total[:, 2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        col = {x: group.column(x).to_pylist() for x in names}
+        i = col["kind"].index(0)
+        parts, n, k = cut(col["a"][i]), col["n"][i], col["k"][i]
+        code, place, cl = _unzip(parts[0], np.uint32, n).astype(np.int64), _unzip(parts[1], np.int16, k), _unzip(parts[2], np.uint8, k).astype(np.int64)
+        docs = pa.ipc.open_stream(parts[3]).read_all()
+        count = np.zeros(k, dtype=np.int64)
+        if (top := place >= 0).any():
+            count[top], cl[top] = m.count[place[top]], top_class[place[top]]
+        for j, kind_ in enumerate(col["kind"]):
+            if kind_ == 1:
+                got, n_got = cut(col["a"][j]), col["n"][j]
+                number = _unzip(got[0], np.uint32, n_got)
+                count[number], cl[number] = _unzip(got[1], np.int64, n_got), _unzip(got[2], np.uint8, n_got)
+        own = np.where(count > 0, np.log10(np.maximum(count - D, D)) - size[cl], unknown[cl])
+        n_words = np.asarray(docs.column("n_words"), dtype=np.int64)
+        off = np.concatenate(([0], np.cumsum(n_words)))
+        total = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x[code])))[off])
+        known, base, shares = total((count > 0).astype(np.float64)), total(np.log10(count + 1.0) - add_one), total(own)
+        seq = np.insert(cl[code].astype(np.uint8), off[1:], end_class).tobytes()
+        at = off + np.arange(len(off))
+        blobs = [seq[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        known = np.rint(known).astype(np.int64) + (ends > 0)
+        columns = [docs.column("doc_id"), docs.column("held_out"), pa.array(n_words + 1), pa.array(known), pa.array(base + np.log10(ends + 1) - add_one), pa.array(shares + end_own), pa.array(blobs, pa.binary())]
+        return pa.table(columns, names=["doc_id", *(x.split()[0] for x in CODED.split(", "))])
+
+    asked = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(ask, kinds)
+    known = words.select("shard", F.lit(0).cast("long").alias("part"), F.lit(2).alias("kind"), F.col("hashes").alias("a"), F.concat("counts", "classes").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
+    told = asked.unionByName(known).groupBy("shard").applyInArrow(look_up, kinds)
+    return stored(told.groupBy("part").applyInArrow(assemble, f"doc_id {kind}, {CODED}"), "coded")
+
+
+def class_bigrams(rows: DataFrame, end_class: int) -> np.ndarray:
+    """Counts of class pairs [before, after] over the texts of coded() rows that aren't held out."""
 
-    asked = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(ask, schema)
-    none = F.lit(None).cast("binary")
-    counts = words.select("shard", F.lit(0).cast("long").alias("part"), F.lit(2).alias("kind"), F.col("hashes").alias("a"), F.col("counts").alias("b"), none.alias("c"), "n")
-    told = asked.unionByName(counts).groupBy("shard").applyInArrow(look_up, schema)
-    return told.groupBy("part").applyInArrow(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def count(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        seen = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for part in slices(batches, SLICE, "classes"):
+            own = part.filter(pc.invert(part.column("held_out")))
+            if own.num_rows:
+                c = np.frombuffer(b"".join(own.column("classes").to_pylist()), dtype=np.uint8).astype(np.int64)
+                seen += np.bincount(np.concatenate(([end_class], c[:-1])) * CLASSES + c, minlength=len(seen))  # a text starts after the end of one
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["pair", "n"])
+
+    out = np.zeros(CLASSES * CLASSES)
+    for r in rows.select("held_out", "classes").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # CLASSES ** 2 rows
+        out[r["pair"]] = r["n"]
+    return out.reshape(CLASSES, CLASSES)
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before), smoothed."""
+    size = table.sum(0)
+    prior = (size + 1) / (size.sum() + CLASSES)
+    return np.log10((table + A * prior[None, :]) / (table.sum(1)[:, None] + A))
+
+
+def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Fills in the model's transitions, which come from the rows that aren't held out."""
+    rows = coded(docs, model, words, held_out)
+    end_class, tokens = int(model.of[END]), model.tokens
+    moves = model.moves = transitions(class_bigrams(rows, end_class))
+
+    def each(batches):
+        import pyarrow as pa
+
+        for part in slices(batches, SLICE, "classes"):
+            blobs = part.column("classes").to_pylist()
+            c = np.frombuffer(b"".join(blobs), dtype=np.uint8).astype(np.int64)
+            off = np.concatenate(([0], np.cumsum([len(x) for x in blobs])))
+            sums = np.concatenate(([0.0], np.cumsum(moves[np.concatenate(([end_class], c[:-1])), c])))
+            score = np.asarray(part.column("own")) + np.diff(sums[off])
+            columns = [part.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known")] + [pa.array(np.full(len(blobs), tokens)), part.column("base_score"), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return rows.mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def digest(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -37,25 +37,65 @@ def corpus():
     return list(enumerate(texts)) + [(100, None), (101, ""), (102, "New unseen WORDS x1"), (5, texts[5]), (None, "x1 y1"), (103, "x1 " * 3000)]
 
 
-def test_class_scores(spark, documents, monkeypatch):
+@pytest.mark.parametrize("most", [brown_lm.TOP, 9])
+def test_class_scores(spark, documents, monkeypatch, most):
+    """With few symbols of their own nearly all words get their classes from their contexts, in shards."""
     monkeypatch.setattr(brown_lm, "SHARD_BYTES", 2000)
     monkeypatch.setattr(brown_lm, "FAN", 2)
     rows = corpus()
     docs = documents(rows).repartition(5).select("doc_id", "text")
     out = doc_remainder(F.col("doc_id"), 7) == 2
-    model, words = brown_lm.learn(docs, ~out)
+    model, words = brown_lm.learn(docs, ~out, most)
     got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown_lm.scored(docs, model, words, out).collect())
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     count = Counter(t for d, x in rows if not held(d) for t in tokens(x))
     n, v = sum(count.values()), len(count)
     import pyarrow as pa
 
-    def class_of(t):
+    given, taught = {}, Counter()
+    for r in words.collect():
+        given |= dict(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), np.frombuffer(r["classes"], np.uint8).tolist(), strict=True))
+
+    def start_of(t):
         if t is None:
             return model.of[brown_lm.END]
         w = pa.array([t])
         return model.of[brown_lm.symbols_of(word_hashes(w), brown_lm.suffix_of(w), model.top, model.number)[0]]
 
+    def class_of(t):
+        return start_of(None) if t is None else given.get(int(word_hashes(pa.array([t]))[0]), start_of(t))
+
+    # every word that occurs twice and is no symbol of its own is where its contexts say
+    left, right, pairs = defaultdict(Counter), defaultdict(Counter), Counter()
+    for d, x in rows:
+        if not held(d):
+            own = [None, *tokens(x)]
+            for a, b in zip(own, own[1:], strict=False):
+                pairs[start_of(a), start_of(b)] += 1
+                left[b][start_of(a)] += 1
+                right[a][start_of(b)] += 1
+    assert all(model.pairs[b, c] == n for (b, c), n in pairs.items()) and model.pairs.sum() == sum(pairs.values())
+    log = lambda x: math.log(x + 0.5)
+    row, col = model.pairs.sum(1) + 0.5 * brown_lm.CLASSES, model.pairs.sum(0) + 0.5 * brown_lm.CLASSES
+    moved = 0
+    for t, c in count.items():
+        if t is None or c < 2 or int(word_hashes(pa.array([t]))[0]) in model.top.tolist():
+            assert class_of(t) == start_of(t)
+            continue
+        old = start_of(t)
+
+        def gain(k, t=t, c=c, old=old):
+            if k != old:
+                return sum(n * log(model.pairs[b, k]) for b, n in left[t].items()) + sum(n * log(model.pairs[k, b]) for b, n in right[t].items()) - c * (math.log(row[k]) + math.log(col[k]))
+            without = lambda x, seen: np.maximum(x - np.array([seen[b] for b in range(brown_lm.CLASSES)]), 0) + 0.5
+            into, out_ = without(model.pairs[:, k], left[t]), without(model.pairs[k], right[t])
+            return sum(n * math.log(into[b]) for b, n in left[t].items()) + sum(n * math.log(out_[b]) for b, n in right[t].items()) - c * (math.log(into.sum()) + math.log(out_.sum()))
+
+        best = max(gain(k) for k in range(brown_lm.CLASSES) if k != start_of(None))
+        assert gain(class_of(t)) == pytest.approx(best, abs=1e-6)
+        moved += class_of(t) != old
+    assert most > 9 or moved > 20
+
     size, kinds = defaultdict(int), defaultdict(int)
     for t, c in count.items():
         size[class_of(t)] += c
@@ -78,6 +118,7 @@ def test_class_scores(spark, documents, monkeypatch):
     for c in {class_of(t) for t in count}:
         assert sum((k - brown_lm.D) / size[c] for t, k in count.items() if class_of(t) == c) + brown_lm.D * kinds[c] / size[c] == pytest.approx(1)
     assert np.allclose((10**model.moves).sum(axis=1), 1)
+    assert all(model.size[c] == size[c] and model.kinds[c] == kinds[c] for c in range(brown_lm.CLASSES))
     # x, y and z words follow one another, so classes tell them apart and beat single words
     own = [g for g in got if g[2] > 20]
     assert sum(g[6] > g[5] for g in own) > 0.9 * len(own)
