@@ -333,12 +333,16 @@ def block_pairs(members: DataFrame, depth: int, threshold: float) -> tuple[DataF
         import pyarrow as pa
         from pyspark import TaskContext
 
-        at, task = 0, TaskContext.get().partitionId() << 32
+        at, task = 0, TaskContext.get().partitionId()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(task + (at + np.arange(batch.num_rows)) // SET_BLOCK), batch.column("signature")], names=["class", "block", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(np.full(batch.num_rows, task)), pa.array(at + np.arange(batch.num_rows)), batch.column("signature")], names=["class", "task", "at", "signature"])
             at += batch.num_rows
 
-    blocks = stored(ordered.mapInArrow(number, "class long, block long, signature binary"), "blocks")
+    placed = stored(ordered.mapInArrow(number, "class long, task long, at long, signature binary"), "placed")
+    sizes = sorted((r["task"], r["count"]) for r in placed.groupBy("task").count().collect())  # a row for each partition
+    offsets = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    starts = placed.sparkSession.createDataFrame([(t, o) for (t, _), o in zip(sizes, offsets, strict=False)], "task long, start long")
+    blocks = placed.join(F.broadcast(starts), "task").select("class", F.floor((F.col("start") + F.col("at")) / SET_BLOCK).alias("block"), "signature")
 
     def meet(batches):
         import pyarrow as pa
