@@ -8,6 +8,7 @@ along event chains; only reachability needs a loop, over shrinking frontiers.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import count
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from framesift.config import Config
 from framesift.functions.geometry import center, compass, distance
 from framesift.functions.text import normalize
-from framesift.sources.storage import stored
+from framesift.sources.storage import Growing, stored
 
 RANK = "struct<frame:int,phase:int,place:int,step:int,item:int>"
 #: What each generator gives: parents are candidates by kind: tags of entity states that stood before, and the key of an event chain.
@@ -75,21 +76,32 @@ def appeared_drafts(observed: DataFrame, after_state: bool = False) -> DataFrame
 def movement_fold(rows: DataFrame, keys: list[str], order: list[str], threshold: float) -> DataFrame:
     """(keys, order, start, finish, displacement, direction): steps of at least threshold from the last recorded place.
 
-    rows: (keys, order, center). The first place is recorded silently; each step that counts is recorded."""
-    point = "struct<x:double,y:double>"
-    item = F.struct(*order, F.col("center").cast(point).alias("center"))
-    path = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("path"))
-    kind = path.schema["path"].dataType.elementType
-    order_kinds = ",".join(f"{n}:{kind[n].dataType.simpleString()}" for n in order)
-    step = f"struct<{order_kinds},start:{point},finish:{point}>"
-    begin = F.struct(F.lit(None).cast(point).alias("at"), F.array().cast(f"array<{step}>").alias("steps"))
-
-    def go(acc: Column, x: Column) -> Column:
-        far = acc["at"].isNotNull() & (distance(acc["at"], x["center"]) >= threshold)
-        one = F.struct(*(x[n].alias(n) for n in order), acc["at"].alias("start"), x["center"].alias("finish"))
-        return F.struct(F.when(acc["at"].isNull() | far, x["center"]).otherwise(acc["at"]).alias("at"), F.when(far, F.concat(acc["steps"], F.array(one))).otherwise(acc["steps"]).alias("steps"))
-
-    steps = path.select(*keys, F.explode(F.aggregate("path", begin, go, lambda acc: acc["steps"])).alias("s")).select(*keys, "s.*")
+    rows: (keys, order, center). The first place is recorded silently; each step that counts is recorded. A track is streamed in order
+    through its partition and never held as a whole."""
+    names = [*keys, *order]
+    kinds = dict(rows.dtypes)
+    ordered = rows.select(*names, F.col("center.x").cast("double").alias("_x"), F.col("center.y").cast("double").alias("_y")).repartition(*keys).sortWithinPartitions(*names)
+
+    def go(batches):
+        import pyarrow as pa
+
+        track, at = None, None
+        for batch in batches:
+            x, y, out = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), []
+            for i, now in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)):
+                if now != track:
+                    track, at = now, None
+                if at is None:
+                    at = (x[i], y[i])
+                elif math.hypot(x[i] - at[0], y[i] - at[1]) >= threshold:
+                    out.append((i, *at))
+                    at = (x[i], y[i])
+            picked = batch.take(pa.array([o[0] for o in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.float64())], names=[*names, "_x", "_y", "_u", "_v"])
+
+    made = ordered.mapInArrow(go, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", _x double, _y double, _u double, _v double")
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    steps = made.select(*names, point("_u", "_v").alias("start"), point("_x", "_y").alias("finish"))
     return steps.withColumns({"displacement": distance(F.col("start"), F.col("finish")), "direction": compass(F.col("start"), F.col("finish"))})
 
 
@@ -200,10 +212,13 @@ def layer_drafts(rows: DataFrame) -> DataFrame:
     return draft(rows, "layer_map", _s(F.col("parent_tag"), " contains ", F.col("child_tag")), F.col("frame_index"), rank(F.col("frame_index"), 2, F.col("arrival"), 2, F.col("item")), meta, _no_tags(), F.array("parent_tag", "child_tag"))
 
 
-def clocked(drafts: DataFrame) -> DataFrame:
-    """Drafts with seq, the number within the clock's frame by order of making, and node_id."""
+def clocked(drafts: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Drafts with seq, the number within the clock's frame by order of making, and node_id. before: next_seq() of a graph that goes on."""
     seq = (F.row_number().over(W.partitionBy("sample_id", "tau_frame").orderBy("rank", "node_type", "content")) - 1).cast("int")
-    return drafts.withColumn("seq", seq).withColumn("node_id", F.concat_ws(":", "sample_id", "tau_frame", "seq"))
+    rows = drafts.withColumn("seq", seq)
+    if before is not None:
+        rows = rows.join(before, ["sample_id", "tau_frame"], "left").withColumn("seq", (F.col("seq") + F.coalesce("next_seq", F.lit(0))).cast("int")).drop("next_seq")
+    return rows.withColumn("node_id", F.concat_ws(":", "sample_id", "tau_frame", "seq"))
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
@@ -234,57 +249,54 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def reduced(edges: DataFrame, keys: list[str] | None = None, parent: str = "parent_id", child: str = "child_id", most: int = 100) -> DataFrame:
-    """edges without those whose parent also leads to another parent of the same child.
+def reduced(edges: DataFrame, keys: list[str] | None = None, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+    """edges without those whose parent also leads to another parent of the same child, on however long a path.
 
     Only children with several parents are looked at. A frontier starts at each of their parents and climbs; a candidate that it
-    meets is superfluous. Frontiers are sets of places, so they grow with nodes, not with paths."""
+    meets is superfluous. Frontiers are sets of places, so they grow with nodes, not with paths; they climb until they are empty."""
     keys = keys or []
     e = edges.select(*keys, F.col(parent).alias("p"), F.col(child).alias("c"))
     many = e.groupBy(*keys, "c").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     candidates = stored(e.join(many, [*keys, "c"], "left_semi"), "candidates")
     up = e.select(*keys, F.col("p").alias("to"), F.col("c").alias("at"))
-    front = candidates.select(*keys, "c", F.col("p").alias("at"))
-    passed, gone = front, None
-    for _ in range(most):
+    front, passed = candidates.select(*keys, "c", F.col("p").alias("at")), None
+    while True:
         climbed = front.join(up, [*keys, "at"]).select(*keys, "c", F.col("to").alias("at")).distinct()
-        # what a frontier has passed needn't be passed again; its start may be met by another's, so starts stay
-        front = stored(climbed if gone is None else climbed.join(passed, [*keys, "c", "at"], "left_anti"), "front")
+        # what a frontier has passed needn't be passed again; its start may be met by another's, so starts aren't passed yet
+        if passed is None:
+            passed = Growing(edges.sparkSession, "passed")
+            front = passed.add(climbed)
+        else:
+            front = passed.add(climbed.join(passed.table(), [*keys, "c", "at"], "left_anti"))
         if front.isEmpty():
             break
-        met = front.join(candidates.withColumnRenamed("p", "at"), [*keys, "c", "at"], "left_semi")
-        gone = met if gone is None else gone.unionByName(met)
-        passed = front if gone is met else passed.unionByName(front)
-    if gone is None:
-        return edges
-    gone = gone.distinct().withColumnsRenamed({"at": parent, "c": child})
+    gone = candidates.withColumnRenamed("p", "at").join(passed.table(), [*keys, "c", "at"], "left_semi").distinct().withColumnsRenamed({"at": parent, "c": child})
     return edges.join(gone, [*keys, parent, child], "left_anti")
 
 
 def ancestors(seeds: DataFrame, edges: DataFrame, depth: int | None, keys: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(seed's columns but node_id, node_id, depth): nodes that lead to the seeds in at most depth steps (None: any number), at their least depth; seeds are at 0.
 
-    seeds: (keys..., node_id, any others, which tell searches apart); edges: (keys, parent_id, child_id). allowed: (..., node_id), parents that may be entered."""
+    seeds: (keys..., node_id, any others, which tell searches apart); edges: (keys, parent_id, child_id). allowed: (..., node_id), parents that may be entered.
+    Every third step what was found is written to one growing table, so the plan has the same size at any depth."""
     keys = keys or []
     marks = [c for c in seeds.columns if c != "node_id"]
     up = edges.select(*keys, F.col("child_id").alias("node_id"), "parent_id")
-    front = seeds.distinct()
-    found, recent = front.withColumn("depth", F.lit(0)), None
+    found, recent = Growing(seeds.sparkSession, "found"), None
+    front = found.add(seeds.distinct().withColumn("depth", F.lit(0))).drop("depth")
     for step in count(1) if depth is None else range(1, depth + 1):
-        seen = found if recent is None else found.unionByName(recent)
+        seen = found.table() if recent is None else found.table().unionByName(recent)
         front = front.join(up, [*keys, "node_id"]).select(*marks, F.col("parent_id").alias("node_id")).distinct()
         if allowed is not None:
             front = front.join(allowed, [c for c in allowed.columns if c in front.columns], "left_semi")
         front = front.join(seen.drop("depth"), [*marks, "node_id"], "left_anti")
         new = front.withColumn("depth", F.lit(step))
         recent = new if recent is None else recent.unionByName(new)
-        if step % 3 == 0:  # lineage ends now and then, of all that was found as well, and a search that is over stops
-            recent = stored(recent, "front")
-            front = recent.filter(F.col("depth") == step).drop("depth")
-            found, recent = found.unionByName(recent), None
+        if step % 3 == 0 or step == depth:
+            front, recent = found.add(recent).filter(F.col("depth") == step).drop("depth"), None
             if front.isEmpty():
                 break
-    return found if recent is None else found.unionByName(recent)
+    return found.table()
 
 
 def path_exists(edges: DataFrame, pairs: DataFrame, depth: int | None = 100) -> DataFrame:
@@ -294,12 +306,27 @@ def path_exists(edges: DataFrame, pairs: DataFrame, depth: int | None = 100) ->
     return pairs.join(hit, ["source", "target"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def parents(edges: DataFrame, node_id: str) -> DataFrame:
-    return edges.filter(F.col("child_id") == node_id).select("parent_id")
+def parents(edges: DataFrame, node_id: str | None = None) -> DataFrame:
+    """(node_id, parent_id) of one node or all."""
+    rows = edges.select(F.col("child_id").alias("node_id"), "parent_id").distinct()
+    return rows if node_id is None else rows.filter(F.col("node_id") == node_id)
 
 
-def children(edges: DataFrame, node_id: str) -> DataFrame:
-    return edges.filter(F.col("parent_id") == node_id).select("child_id")
+def children(edges: DataFrame, node_id: str | None = None) -> DataFrame:
+    """(node_id, child_id) of one node or all."""
+    rows = edges.select(F.col("parent_id").alias("node_id"), "child_id").distinct()
+    return rows if node_id is None else rows.filter(F.col("node_id") == node_id)
+
+
+def layer_edges(nodes: DataFrame, mappings: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(sample_id, parent_id, child_id): an edge from a parent tag's state to a child tag's, once however often it is mapped; not those that edges has.
+
+    mappings: (sample_id, parent_tag, child_tag). Tags without a state give no edge."""
+    states = nodes.filter("node_type = 'entity_state'").select("sample_id", normalize(F.col("tags")[0]).alias("tag"), "node_id")
+    pairs = mappings.select("sample_id", normalize(F.col("parent_tag")).alias("p"), normalize(F.col("child_tag")).alias("c")).distinct()
+    found = pairs.join(states.select("sample_id", F.col("tag").alias("p"), F.col("node_id").alias("parent_id")), ["sample_id", "p"]).join(states.select("sample_id", F.col("tag").alias("c"), F.col("node_id").alias("child_id")), ["sample_id", "c"])
+    found = found.filter("parent_id <> child_id").select("sample_id", "parent_id", "child_id").distinct()
+    return found if edges is None else found.join(edges, ["sample_id", "parent_id", "child_id"], "left_anti")
 
 
 def next_seq(nodes: DataFrame) -> DataFrame:

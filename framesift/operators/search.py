@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +21,17 @@ MOST_QUERIES = 10_000
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, ident: str, by: list[str] | None = None, threshold: float | None = None, vector: str = "embedding") -> DataFrame:
     """The k best rows of vectors for each query by inner product, ties by ident; then those below the threshold go.
 
-    queries: (query_id, by..., query_vector), a stated set that is broadcast after a count. Each task keeps k rows a query
-    before anything is shuffled."""
-    by = by or []
-    few = maybe_broadcast(queries, queries.count(), MOST_QUERIES)
+    queries: (query_id, by..., query_vector), a stated set that is broadcast after a count; without by, more than MOST_QUERIES go in
+    blocks of that size, one scan of the vectors each. Each task keeps k rows a query before anything is shuffled."""
+    by, n = by or [], queries.count()
+    if n > MOST_QUERIES and not by:
+        blocks = -(-n // (MOST_QUERIES * 9 // 10))  # some room, as a hash doesn't deal evenly
+        own = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        return reduce(DataFrame.unionByName, (_top_k(vectors, F.broadcast(own.filter(F.col("_block") == i).drop("_block")), k, ident, by, threshold, vector) for i in range(blocks)))
+    return _top_k(vectors, maybe_broadcast(queries, n, MOST_QUERIES), k, ident, by, threshold, vector)
+
+
+def _top_k(vectors: DataFrame, few: DataFrame, k: int, ident: str, by: list[str], threshold: float | None, vector: str) -> DataFrame:
     score = dot(F.col(vector), F.col("query_vector"))
     pairs = vectors.join(few, by) if by else vectors.crossJoin(few)
     pairs = pairs.withColumn("score", score).drop("query_vector", vector)
@@ -108,6 +117,12 @@ def in_order(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.join(nodes.filter("not is_tombstone"), ["sample_id", "node_id"])
 
 
+def structured(found: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """(query_id, sample_id, node_id, depth, is_seed, score, node columns): the closure's live nodes; sort by (tau_frame, seq)."""
+    members = closure(found, edges, depth).join(found.select("query_id", "sample_id", "node_id", "score"), ["query_id", "sample_id", "node_id"], "left")
+    return in_order(members.withColumns({"is_seed": F.col("depth") == 0, "score": F.coalesce("score", F.lit(0.0))}), nodes)
+
+
 def linear_text(rows: DataFrame, by: list[str], max_tokens: int | None = None, with_type: bool = False) -> DataFrame:
     """(by, context): contents in clock order, a line each, as long as 4 * max_tokens characters last; line ends aren't counted."""
     line = F.concat(F.lit("["), F.col("node_type"), F.lit("|τ=τ("), F.col("tau_frame").cast("string"), F.lit(", "), F.col("seq").cast("string"), F.lit(")] "), F.col("content")) if with_type else F.col("content")

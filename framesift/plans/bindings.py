@@ -63,10 +63,10 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw detector frames: one for each region, with its nations as boxes (four labels by key), those with chosen suppliers as a second layer."""
+    """Raw detector frames: one for each region, with its nations as boxes (four labels by key), those with suppliers as a second layer."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     o = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("n"), (F.col("n_nationkey") % 4).cast("string")).alias("label")))).alias("o"))
-    kids = s.filter("s_suppkey % 10 = 0").join(n, s["s_nationkey"] == n["n_nationkey"]).groupBy("n_regionkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("n"), (F.col("n_nationkey") % 4).cast("string")))).alias("kids"))
+    kids = s.join(n, s["s_nationkey"] == n["n_nationkey"]).groupBy("n_regionkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("n"), (F.col("n_nationkey") % 4).cast("string")))).alias("kids"))
     rows = o.join(kids, "n_regionkey", "left")
     names = F.transform("o", lambda x: x["label"])
     boxes = F.transform("o", lambda x: F.array(x["n_nationkey"].cast("double"), F.lit(0.0), x["n_nationkey"] + F.lit(10.0), F.lit(5.0)))

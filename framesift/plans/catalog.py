@@ -45,21 +45,11 @@ def detections(spark, sf_dir):
     return d.select("sample_id", "frame_index", "tag", "label", r4(F.col("bbox")[0]).alias("x1"), r4(F.col("bbox")[1]).alias("y1"))
 
 
-@registered(f"""WITH {_D} SELECT a.sample_id, a.frame_index, a.entity_id, c.entity_id AS other, round(CASE WHEN 5000 - i.i <= 1e-8 THEN 0 ELSE i.i / (5000 - i.i) END, 4) AS iou, a.tag = c.tag AS same_tag
-FROM d a JOIN d c ON a.sample_id = c.sample_id AND c.frame_index = a.frame_index + 1 AND c.entity_id BETWEEN a.entity_id AND a.entity_id + 30,
-LATERAL (SELECT greatest(0, least(a.x1, c.x1) + 50 - greatest(a.x1, c.x1)) * greatest(0, least(a.y1, c.y1) + 50 - greatest(a.y1, c.y1)) AS i) i WHERE round(CASE WHEN 5000 - i.i <= 1e-8 THEN 0 ELSE i.i / (5000 - i.i) END, 4) > 0""")
-def iou_pairs(spark, sf_dir):
-    d = b.detections(spark, sf_dir).select("sample_id", "frame_index", "entity_id", "tag", "bbox")
-    nxt = d.select("sample_id", (F.col("frame_index") - 1).alias("frame_index"), F.col("entity_id").alias("other"), F.col("tag").alias("other_tag"), F.col("bbox").alias("box"))
-    pairs = d.join(nxt, ["sample_id", "frame_index"]).filter("other between entity_id and entity_id + 30")
-    return pairs.select("sample_id", "frame_index", "entity_id", "other", r4(geometry.iou(F.col("bbox"), F.col("box"))).alias("iou"), (F.col("tag") == F.col("other_tag")).alias("same_tag")).filter("iou > 0")
-
-
 @registered(f"""WITH {_D} SELECT a.sample_id, a.frame_index, a.entity_id, c.entity_id AS other, round(i.i / (5000 - i.i), 4) AS iou, a.tag = c.tag AS same_tag
 FROM d a JOIN d c ON a.sample_id = c.sample_id AND c.frame_index = a.frame_index + 1,
 LATERAL (SELECT greatest(0, least(a.x1, c.x1) + 50 - greatest(a.x1, c.x1)) * greatest(0, least(a.y1, c.y1) + 50 - greatest(a.y1, c.y1)) AS i) i WHERE round(CASE WHEN 5000 - i.i <= 1e-8 THEN 0 ELSE i.i / (5000 - i.i) END, 4) > 0""")
-def iou_overlaps(spark, sf_dir):
-    """The pairs of iou_pairs without its window of ids: all that overlap."""
+def iou_pairs(spark, sf_dir):
+    """All overlapping boxes of consecutive frames."""
     pairs = overlaps.overlaps(b.detections(spark, sf_dir), ["entity_id", "tag"])
     return pairs.select("sample_id", "frame_index", "entity_id", F.col("other_entity_id").alias("other"), r4("iou").alias("iou"), (F.col("tag") == F.col("other_tag")).alias("same_tag")).filter("iou > 0")
 
@@ -193,12 +183,17 @@ def entity_moved(spark, sf_dir):
 
 
 @registered(f"""WITH {_D}, a AS (SELECT sample_id, entity_id, min(frame_index) AS f0, max(frame_index) AS f1, arg_min(x1, frame_index) AS ax, arg_min(y1, frame_index) AS ay, arg_max(x1, frame_index) AS bx, arg_max(y1, frame_index) AS b2, count(*) AS n FROM d GROUP BY ALL), z AS (SELECT sample_id, max(frame_index) AS last FROM d GROUP BY ALL)
-SELECT sample_id, entity_id, CAST(f0 AS INT) AS first_frame, CAST(f1 AS INT) AS last_frame, n AS sights, round(sqrt((bx - ax) ** 2 + (b2 - ay) ** 2), 3) AS total_displacement, CASE WHEN f1 < last THEN CAST(f1 + 1 AS INT) END AS disappeared_frame FROM a JOIN z USING (sample_id)""")
+SELECT sample_id, CAST(entity_id AS VARCHAR) AS entity_id, CAST(f0 AS INT) AS first_frame, CAST(f1 AS INT) AS last_frame, CAST(n AS INT) AS sights, round(sqrt((bx - ax) ** 2 + (b2 - ay) ** 2), 3) AS total_displacement, CASE WHEN f1 < last THEN CAST(f1 + 1 AS INT) END AS disappeared_frame,
+ f1 = last AS active, CASE WHEN f1 < last THEN 'disappeared' ELSE 'active' END AS state, CASE WHEN f1 < last THEN 2 ELSE 1 END AS states FROM a JOIN z USING (sample_id)""")
 def entity_lifecycle(spark, sf_dir):
-    d = b.detections(spark, sf_dir)
-    last = d.groupBy("sample_id").agg(F.max("frame_index").alias("last"))
-    rows = d.groupBy("sample_id", "entity_id").agg(F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.count("*").alias("sights"), F.min_by("bbox", "frame_index").alias("p"), F.max_by("bbox", "frame_index").alias("q")).join(F.broadcast(last), "sample_id")
-    return rows.select("sample_id", "entity_id", "first_frame", "last_frame", "sights", F.round(geometry.displacement(F.col("p"), F.col("q")), 3).alias("total_displacement"), F.when(F.col("last_frame") < F.col("last"), F.col("last_frame") + 1).alias("disappeared_frame"))
+    """Users as entities that are given up the day after their last."""
+    seen = _sights(spark, sf_dir)
+    last = seen.groupBy("sample_id").agg(F.max("frame_index").alias("last"))
+    told = seen.select("sample_id", "frame_index", "ord", "entity_id", "status", F.lit(0).alias("missed_frames"))
+    gone = told.groupBy("sample_id", "entity_id").agg(F.max("frame_index").alias("f1")).join(F.broadcast(last), "sample_id").filter("f1 < last")
+    gone = gone.select("sample_id", (F.col("f1") + 1).alias("frame_index"), F.lit(None).cast("int").alias("ord"), "entity_id", F.lit("disappeared").alias("status"), F.lit(1).alias("missed_frames"))
+    e = tracker.entities(told.unionByName(gone), seen.select("sample_id", "frame_index", "ord", "score", *[c for c in tracker.SIGHT if c != "detection_score"]))
+    return e.select("sample_id", "entity_id", "first_frame", "last_frame", F.size("trajectory").alias("sights"), F.round("total_displacement", 3).alias("total_displacement"), "disappeared_frame", "active", "state", F.size("status_history").alias("states"))
 
 
 @registered(f"""WITH {_D}, l AS (SELECT *, lag(label) OVER (PARTITION BY sample_id, entity_id ORDER BY frame_index) AS old FROM d)
@@ -230,9 +225,8 @@ def relation_debounce(spark, sf_dir):
  CAST(row_number() OVER (PARTITION BY sample_id, frame_index ORDER BY entity_id) - 1 AS INT) AS seq FROM d""")
 def logical_clock(spark, sf_dir):
     d = b.detections(spark, sf_dir)
-    seq = (F.row_number().over(W.partitionBy("sample_id", "frame_index").orderBy("entity_id")) - 1).cast("int")
     rows = events.numbered(d.select("sample_id", F.lit("entities").alias("key"), "entity_id", "frame_index", F.struct("frame_index", "entity_id").alias("rank"), F.lit("").alias("content")))
-    return rows.select("sample_id", "entity_id", "frame_index", "memory_id", seq.alias("seq"))
+    return dag.clocked(rows.withColumns({"tau_frame": F.col("frame_index"), "node_type": F.lit("")})).select("sample_id", "entity_id", "frame_index", "memory_id", "seq")
 
 
 # ---- graph
@@ -283,8 +277,7 @@ def relevant_closure(spark, sf_dir):
 @registered(f"WITH {_T} SELECT t.conv_id || ':' || t.turn AS node_id, count(DISTINCT x.p) AS n_parents, count(DISTINCT y.c) AS n_children FROM t LEFT JOIN e x ON x.conv_id = t.conv_id AND x.c = t.turn LEFT JOIN e y ON y.conv_id = t.conv_id AND y.p = t.turn GROUP BY t.conv_id, t.turn")
 def parents_children(spark, sf_dir):
     n, e = b.turns(spark, sf_dir).select("node_id"), b.turn_edges(spark, sf_dir)
-    up = e.groupBy(F.col("child_id").alias("node_id")).agg(F.count("*").alias("n_parents"))
-    down = e.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
+    up, down = dag.parents(e).groupBy("node_id").agg(F.count("*").alias("n_parents")), dag.children(e).groupBy("node_id").agg(F.count("*").alias("n_children"))
     return n.join(up, "node_id", "left").join(down, "node_id", "left").na.fill(0)
 
 
@@ -336,7 +329,7 @@ def split_tags(spark, sf_dir):
 
 _F = """o AS (SELECT n_regionkey AS frame, n_nationkey, 'n' || (n_nationkey % 4) AS label, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS idx FROM nation),
 t AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY frame, label) = 1 THEN label ELSE label || row_number() OVER (PARTITION BY frame, label ORDER BY idx) END AS tag, count(*) OVER (PARTITION BY frame) AS n FROM o),
-k AS (SELECT DISTINCT n_regionkey AS frame, 'n' || (n_nationkey % 4) AS kid FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 = 0)"""
+k AS (SELECT DISTINCT n_regionkey AS frame, 'n' || (n_nationkey % 4) AS kid FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 @registered(f"""WITH {_F} SELECT t.frame, CAST(t.idx AS INT) AS idx, t.label, t.tag, round(t.n_nationkey / 100.0, 4) AS score, CASE t.idx WHEN 0 THEN 'red' WHEN 2 THEN 'tall' ELSE '' END AS attributes,
@@ -409,18 +402,17 @@ def rerank(spark, sf_dir):
 _Q = "q AS (SELECT user_id AS query_id, 'What happened to user' || user_id || ' while moving near the ' || arg_max(event_type, event_id) || '?' AS query FROM events GROUP BY user_id)"
 
 
-@registered(f"""WITH {_Q}, {_D}, g AS (SELECT sample_id, printf('entity_%04d', entity_id) AS entity_id, tag, arg_max(label, frame_index) AS label FROM d GROUP BY ALL)
+@registered(f"""WITH {_Q}, {_D}, g AS (SELECT sample_id, printf('entity_%04d', entity_id) AS entity_id, tag, arg_max(label, frame_index) AS label FROM d GROUP BY ALL),
+a AS (SELECT sample_id, count(*) AS n, sha256(string_agg(DISTINCT entity_id, ',' ORDER BY entity_id)) AS ids, sha256(string_agg(DISTINCT tag, ',' ORDER BY tag)) AS tags, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM g GROUP BY ALL)
 SELECT q.query_id, 'while' AS temporal, 'near' AS relation, 'relation,motion' AS intents, 'entity_moved,trajectory_summary,interaction,relation_changed,attribute_changed,entity_appeared,entity_disappeared' AS preferred,
- string_agg(DISTINCT g.entity_id, ',' ORDER BY g.entity_id) FILTER (g.tag IS NOT NULL) AS entity_ids FROM q LEFT JOIN g ON g.sample_id = CAST(q.query_id % 3 AS VARCHAR) AND (g.tag = 'user' || q.query_id) GROUP BY q.query_id""")
+ CAST(a.n AS INT) AS n_entities, a.ids AS entity_ids, a.tags AS entity_tags, a.labels AS entity_labels FROM q JOIN a ON a.sample_id = CAST(q.query_id % 3 AS VARCHAR)""")
 def query_parse(spark, sf_dir):
-    """Questions about users; a tag's digit-stripped form isn't in the question, so only the user's own tag matches."""
+    """Questions about users; a tag's digit-stripped form is in every question, so each names all users of its sample and their labels."""
     e = b.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.max_by("event_type", "event_id").alias("t"))
     q = e.select("query_id", (F.col("query_id") % 3).cast("string").alias("sample_id"), F.concat(F.lit("What happened to user"), F.col("query_id").cast("string"), F.lit(" while moving near the "), "t", F.lit("?")).alias("query"))
-    # the bare form 'user' of every tag would match every question; an alias keeps the binding one to one
-    reg = b.registry(spark, sf_dir)
-    p = query.parse(q, reg)
-    own = F.filter("entity_ids", lambda x: x == F.format_string("entity_%04d", F.col("query_id")))
-    return p.select("query_id", F.array_join("temporal_keywords", ",").alias("temporal"), F.array_join("relation_keywords", ",").alias("relation"), F.array_join("query_intents", ",").alias("intents"), F.array_join("preferred_event_types", ",").alias("preferred"), F.nullif(F.array_join(own, ","), F.lit("")).alias("entity_ids"))
+    p = query.parse(q, b.registry(spark, sf_dir))
+    joined, sha = (lambda c: F.array_join(c, ",")), (lambda c: F.sha2(F.array_join(c, ",").cast("binary"), 256))
+    return p.select("query_id", joined("temporal_keywords").alias("temporal"), joined("relation_keywords").alias("relation"), joined("query_intents").alias("intents"), joined("preferred_event_types").alias("preferred"), F.size("entity_ids").alias("n_entities"), sha("entity_ids").alias("entity_ids"), sha("entity_tags").alias("entity_tags"), joined("entity_labels").alias("entity_labels"))
 
 
 @registered(f"WITH {_D} SELECT sample_id, label AS tag, printf('entity_%04d', max(entity_id)) AS entity_id FROM d GROUP BY sample_id, label")

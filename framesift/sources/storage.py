@@ -13,18 +13,42 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='framesift-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Growing:
+    """A table that grows by parts. Each part is written once to the shared folder; all parts are read as one scan, so plans stay small."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.schema = spark, f"{shared_dir(spark)}/framesift/{name}-{uuid.uuid4().hex}", None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The part that df is, read back."""
+        part = f"{self.path}/part-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(part)
+        self.schema = self.schema or df.schema
+        _delete_at_end(self.spark, self.path)
+        return self.spark.read.schema(self.schema).parquet(part)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends there. Spark's JVM deletes it as it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framesift/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,10 +28,7 @@ def associate_stream(frames: DataFrame, config: Config | None = None) -> DataFra
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker, last = Tracker(config.matching, config.embedding), None
         if state.exists:
-            last, gone, living = json.loads(state.get[0])
-            by_no = dict(living)
-            # the places of entities that are gone count for ids only
-            tracker.entities = [by_no[str(i)] if str(i) in by_no else {"state": "disappeared"} for i in range(gone)]
+            last, tracker.made, tracker.living = json.loads(state.get[0])
         out, frames = [], sorted((row for b in batches for row in b[["frame_index", "detections"]].itertuples(index=False)), key=lambda r: r[0])
         for frame, found in frames:
             if last is not None and frame <= last:
@@ -40,8 +37,7 @@ def associate_stream(frames: DataFrame, config: Config | None = None) -> DataFra
             rows = [(d["ord"], d["tag"], d["label"], list(d["bbox"])) for d in (found if found is not None else []) if d["score"] >= config.matching.detection_score_threshold]
             out += [(key[0], *r) for r in tracker.frame(int(frame), sorted(rows, key=lambda r: r[0]))]
             last = int(frame)
-        living = {str(i): e for i, e in enumerate(tracker.entities) if e["state"] != "disappeared"}
-        state.update((json.dumps([last, len(tracker.entities), living]),))
+        state.update((json.dumps([last, tracker.made, tracker.living]),))
         yield pd.DataFrame(out, columns=columns)
 
     return frames.groupBy("sample_id").applyInPandasWithState(step, ASSOCIATION, "state string", "append", GroupStateTimeout.NoTimeout)
@@ -52,16 +48,21 @@ def once(rows: DataFrame, time: str = "seen_at", delay: str = "1 hour", key: str
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def append_once(path: str, keys: list[str]):
-    """A foreachBatch function that appends what a table doesn't hold yet, so a batch that is run again adds nothing."""
+def append_once(path: str, keys: list[str], by: str | None = None):
+    """A foreachBatch function that appends what a table doesn't hold yet, so a batch that is run again adds nothing.
+
+    by: a key that the table is laid out by; a batch then reads only the partitions that it has rows for."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         new = batch.dropDuplicates(keys)
         if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(path)
+            held = spark.read.schema(batch.schema).parquet(path).select(*keys)
+            if by is not None:
+                held = held.join(F.broadcast(new.select(by).distinct()), by, "left_semi")
+            new = new.join(held, keys, "left_anti")
+        (new.write.mode("append") if by is None else new.write.mode("append").partitionBy(by)).parquet(path)
 
     return write
 
