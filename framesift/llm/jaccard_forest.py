@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from framesift.llm.common import hidden, maybe_broadcast, mix64, slices, stored, trim, word_hashes, words_of
 
 N, THRESHOLD = 5, 0.8
-TRIES, DEPTH, RECALL = 16, 6, 0.9999
+TRIES, DEPTH, RECALL = 16, 5, 0.9999
 MINIMA = TRIES * DEPTH
 NODE_BLOCK, SET_BLOCK = 256, 512
 MOST_KEYS = 500_000  # rows of (id, hash, class) that are broadcast, some 60 bytes each; beyond it the join shuffles

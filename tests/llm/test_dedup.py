@@ -82,12 +82,12 @@ def test_one_document_of_each_group_stays(spark, documents):
 def test_recall_is_read_off_the_pairs_found():
     m = jaccard_forest.MINIMA
     found = np.zeros(m + 1)
-    alone = [jaccard_forest.recall_of(found, d) for d in range(1, 7)]
-    assert alone == sorted(alone, reverse=True) and alone[2] > 0.9999 > alone[3] and alone[5] == pytest.approx(1 - (1 - (77 / 96) ** 6) ** 16)
+    alone = [jaccard_forest.recall_of(found, d) for d in range(1, 6)]
+    assert alone == sorted(alone, reverse=True) and alone[2] > 0.9999 > alone[3] and alone[4] == pytest.approx(1 - (1 - 0.8**5) ** 16)
     found[m] = 10**6  # copies but for a few words need no short prefixes
-    assert jaccard_forest.recall_of(found, 6) > 0.9999
-    found[77] = 10**6
-    assert jaccard_forest.recall_of(found, 6) < 0.9999
+    assert jaccard_forest.recall_of(found, 5) > 0.9999
+    found[64] = 10**6
+    assert jaccard_forest.recall_of(found, 5) < 0.9999
 
 
 def test_prefixes_shorten_only_as_far_as_needed(spark):
@@ -96,7 +96,7 @@ def test_prefixes_shorten_only_as_far_as_needed(spark):
     close = [(i, r.tobytes()) for i, r in enumerate(base)] + [(1000 + i, np.where(rnd.random(len(r)) < 0.995, r, 7).astype(">u4").tobytes()) for i, r in enumerate(base)]
     far = close[:300] + [(1000 + i, np.where(rnd.random(len(r)) < 0.81, r, 7).astype(">u4").tobytes()) for i, r in enumerate(base)]
     links = lambda rows, target: jaccard_forest.candidate_links(spark.createDataFrame(rows, "class long, signature binary"), 0.8, target)
-    assert links(close, 0.9999)[1] == 6
+    assert links(close, 0.9999)[1] == 5
     deep, shallow = links(far, 0.9), links(far, 0.9999)
     assert deep[1] > shallow[1] and shallow[0].count() >= deep[0].count() and shallow[0].count() > 280
 
@@ -104,7 +104,7 @@ def test_prefixes_shorten_only_as_far_as_needed(spark):
 def test_agreement_of_few_is_that_of_many():
     rnd = np.random.default_rng(2)
     sign = rnd.integers(0, 2, (60, jaccard_forest.MINIMA)).astype(np.uint32)
-    for depth in (1, 3, 6):
+    for depth in (1, 3, 5):
         many = jaccard_forest.agreement(sign, depth)
         assert all((a == b[:20, :20]).all() for a, b in zip(jaccard_forest.agreement(sign[:20], depth), many, strict=True))
 
