@@ -186,8 +186,18 @@ def phrases(symbols: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray, roo
     spec = state[:, column]  # the state behind each block's own parse, by number
     came, own = spec.copy(), count[:, column]
     grid, begins = grid[:, column], begins[:, :, column]
+    known, contents, again = {}, {}, False
     while len(at):  # again only for blocks that the parse now comes into in another state
-        own[lang, at], out, met = _carry(table, grid, begins, length, opens, start[:, 0], lang, at, came[lang, at - 1])
+        state = came[lang, at - 1]
+        if not again:
+            own[lang, at], out, met = _carry(table, grid, begins, length, opens, start[:, 0], lang, at, state)
+        else:  # a periodic text goes through equal blocks in equal states over and over: each case is parsed once
+            keys = [(g, s, contents.setdefault(grid[:, b].tobytes(), b)) for g, s, b in zip(lang.tolist(), state.tolist(), at.tolist(), strict=True)]
+            if new := sorted({k for k in keys if k not in known}):
+                g, s, b = (np.array(x) for x in zip(*new, strict=True))
+                known.update(zip(new, zip(*(x.tolist() for x in _carry(table, grid, begins, length, opens, start[:, 0], g, b, s)), strict=True), strict=True))
+            own[lang, at], out, met = (np.array(x) for x in zip(*(known[k] for k in keys), strict=True))
+        again = True
         out = np.where(met, spec[lang, at], out)
         more = (out != came[lang, at]) & ~last[at + 1]
         came[lang, at] = out
