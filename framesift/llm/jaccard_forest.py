@@ -232,7 +232,8 @@ def node_members(classes: DataFrame, depth: int, whole: bool) -> DataFrame:
     rows = classes.select("class", F.explode(tries).alias("x")).select("class", "x.*")
     # counted before anything meets, so a node that many share is a number for each task
     sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("child").alias("a"), F.max("child").alias("z")).filter("a <> z").select("node", "size")
-    rows = rows.drop("child").join(sizes, "node").join(classes, "class")
+    # a table of its own, so that Spark broadcasts it while it is small and can split a hot node's rows beyond that
+    rows = rows.drop("child").join(stored(sizes, "nodes"), "node").join(classes, "class")
     rows = dealt(rows, "node", "size", "class", NODE_BLOCK).withColumn("label", F.substring("signature", F.col("trie") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "label", "class").drop("label", "size")
 
