@@ -3,7 +3,7 @@
 A character is one of 64 symbols: the boundary, any upper-case letter, any
 digit, anything rare, and the 60 most frequent others of the trusted text. So
 there are 64**4 n-grams at most, whatever the corpus. Their counts are summed
-map-side and by shards of n-grams; the model is a table of as many 16-bit
+map-side and by shards of n-grams; the model is a table of as many 32-bit
 numbers, which is broadcast: its size is fixed. Each document's n-grams are
 joined with it by number, and its perplexity is held against a quantile of
 trusted documents of its language and of like length: lengths are banded by
@@ -104,10 +104,10 @@ def bits_table(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
             np.multiply(np.tile(lower, (max(1, span // SYMBOLS // len(lower)), 1)), rest[:, None], out=new)
         new[context, symbol] += ((c - d[np.minimum(c, 3).astype(int)]) / total[context]).astype(np.float32)
         lower = new
-    out = np.empty(lower.size, dtype=np.uint16)
-    flat = lower.ravel()
+    flat = lower.ravel()  # no chance is less than 1e-32 whatever the counts, as a step down keeps 0.05 of a count at least
+    out = flat.view(np.int32)  # in place: the table is as large as any
     for a in range(0, len(flat), 1 << 20):
-        out[a : a + (1 << 20)] = np.minimum(np.rint(-np.log2(np.maximum(flat[a : a + (1 << 20)], 1e-9)) * STEPS), 65535)
+        out[a : a + (1 << 20)] = np.rint(-np.log2(flat[a : a + (1 << 20)]) * STEPS)
     return out
 
 
@@ -144,7 +144,7 @@ class Model:
 
 def scored(docs: DataFrame, symbols, bits) -> DataFrame:
     """docs with n_symbols and bits (the sum over the text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((symbols, bits))  # 64**4 16-bit numbers, always
+    sent = docs.sparkSession.sparkContext.broadcast((symbols, bits))  # 64**4 32-bit numbers, always
 
     def each(batches):
         import pyarrow as pa
