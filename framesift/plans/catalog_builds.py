@@ -216,7 +216,8 @@ def deep_path(spark, sf_dir):
     edges, e = _chain(spark, sf_dir, [1, 2])
     ends = e.groupBy("user_id").agg(F.max("n").alias("m")).select("user_id", F.lit(1).alias("a"), F.col("m").alias("z"))
     both = ends.unionByName(ends.select("user_id", F.col("z").alias("a"), F.col("a").alias("z"))).distinct()
-    return dag.path_exists(edges, both.select(F.concat_ws(":", "user_id", "a").alias("source"), F.concat_ws(":", "user_id", "z").alias("target")), None)
+    pairs = both.select(F.col("user_id").cast("string").alias("sample_id"), F.concat_ws(":", "user_id", "a").alias("source"), F.concat_ws(":", "user_id", "z").alias("target"))
+    return dag.path_exists(edges, pairs, None, ["sample_id"]).select("source", "target", "found")
 
 
 # ---- tracking
