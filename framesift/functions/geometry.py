@@ -12,6 +12,11 @@ def center(box: Column) -> Column:
     return F.struct(((box[0] + box[2]) / 2).alias("x"), ((box[1] + box[3]) / 2).alias("y"))
 
 
+def corner(box: Column) -> Column:
+    """The upper left corner: among boxes of one size it moves as the centre does, without the rounding of the centre."""
+    return F.struct(box[0].alias("x"), box[1].alias("y"))
+
+
 def area(box: Column) -> Column:
     """Zero for a box that is turned inside out."""
     zero = F.lit(0.0)

@@ -9,6 +9,7 @@ along event chains; only reachability needs a loop, over shrinking frontiers.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -94,7 +95,7 @@ def movement_fold(rows: DataFrame, keys: list[str], order: list[str], threshold:
                     track, at = now, None
                 if at is None:
                     at = (x[i], y[i])
-                elif math.hypot(x[i] - at[0], y[i] - at[1]) >= threshold:
+                elif math.sqrt((x[i] - at[0]) * (x[i] - at[0]) + (y[i] - at[1]) * (y[i] - at[1])) >= threshold:  # as distance() rounds
                     out.append((i, *at))
                     at = (x[i], y[i])
             picked = batch.take(pa.array([o[0] for o in out], pa.int64()))
@@ -106,11 +107,13 @@ def movement_fold(rows: DataFrame, keys: list[str], order: list[str], threshold:
     return steps.withColumns({"displacement": distance(F.col("start"), F.col("finish")), "direction": compass(F.col("start"), F.col("finish"))})
 
 
-def moved_drafts(seen: DataFrame, config: Config, every_sight: bool = False) -> DataFrame:
-    """Movement nodes. The plain build looks only at sights that moved enough since the sight before; every_sight looks at all."""
-    rows = seen if every_sight else seen.filter("status = 'matched'").filter(distance(center(F.col("prev_bbox")), center(F.col("bbox"))) >= config.matching.movement_event_threshold)
+def moved_drafts(seen: DataFrame, config: Config, every_sight: bool = False, place_of: Callable[[Column], Column] = center) -> DataFrame:
+    """Movement nodes. The plain build looks only at sights that moved enough since the sight before; every_sight looks at all.
+
+    place_of: the point of a box that is measured."""
+    rows = seen if every_sight else seen.filter("status = 'matched'").filter(distance(place_of(F.col("prev_bbox")), place_of(F.col("bbox"))) >= config.matching.movement_event_threshold)
     tag = F.col("tag") if every_sight else F.col("prev_tag")
-    steps = movement_fold(rows.select("sample_id", tag.alias("tag"), "frame_index", "arrival", center(F.col("bbox")).alias("center")), ["sample_id", "tag"], ["frame_index", "arrival"], config.dag.movement_threshold)
+    steps = movement_fold(rows.select("sample_id", tag.alias("tag"), "frame_index", "arrival", place_of(F.col("bbox")).alias("center")), ["sample_id", "tag"], ["frame_index", "arrival"], config.dag.movement_threshold)
     place = lambda c: F.format_string("(%.1f, %.1f)", F.col(c)["x"], F.col(c)["y"])
     text = _s(F.col("tag"), " moved from ", place("start"), " to ", place("finish"), ", displacement=", F.format_string("%.1f", "displacement"), ", direction=", F.col("direction"))
     meta = F.struct(F.col("tag").alias("entity_tag"), F.col("frame_index").alias("frame_start"), F.col("frame_index").alias("frame_end"), F.col("start").alias("from_position"), F.col("finish").alias("to_position"), "displacement", "direction")

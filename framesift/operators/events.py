@@ -6,13 +6,15 @@ windows and sets over sights. Nothing here keeps state.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framesift.config import Config
 from framesift.functions.embedding import dot, embed
-from framesift.functions.geometry import compact, displacement
+from framesift.functions.geometry import center, compact, displacement, distance
 from framesift.functions.relations import pair_text
 
 EVENT = ["sample_id", "event_type", "frame_start", "frame_end", "entities", "entity_tags", "entity_labels", "summary", "confidence", "source", "details", "rank", "dedupe_key"]
@@ -80,8 +82,9 @@ def disappeared(associations: DataFrame, observed: DataFrame) -> DataFrame:
     return rows.select(*_one("", "entity_disappeared", text, F.greatest(F.lit(0.5), 0.95 - 0.1 * F.col("missed_frames")), details, 3, 0))
 
 
-def moved(seen: DataFrame, threshold: float) -> DataFrame:
-    d = displacement(F.col("prev_bbox"), F.col("bbox"))
+def moved(seen: DataFrame, threshold: float, place: Callable[[Column], Column] = center) -> DataFrame:
+    """Sights at least threshold from the one before. place: the point of a box that is measured."""
+    d = distance(place(F.col("prev_bbox")), place(F.col("bbox")))
     rows = seen.filter("status = 'matched'").withColumn("displacement", d).filter(F.col("displacement") >= threshold)
     text = _s(F.col("entity_id"), " ", F.col("prev_tag"), " (", F.col("prev_label"), ") moved at frame ", F.col("frame_index"), " from ", compact(F.col("prev_bbox")), " to ", compact(F.col("bbox")), " with displacement ", F.format_string("%.1f", "displacement"), "px.")
     return rows.select(*_one("prev_", "entity_moved", text, F.least(F.lit(1.0), 0.6 + F.col("displacement") / 100.0), F.struct("prev_bbox", F.col("bbox").alias("curr_bbox"), "displacement"), 1, 0))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framesift.config import Config, Matching
+from framesift.functions import geometry
 from framesift.operators import dag, events, evidence, query, search, tracker, windows
 from framesift.plans import bindings as b
 from framesift.plans.catalog import _D, _F, ORACLE_SQL, _sights, r4, registered
@@ -126,7 +127,7 @@ w AS (SELECT sample_id, tag, frame_index, n, x AS ax, y AS ay, CAST(NULL AS DOUB
  UNION ALL SELECT e.sample_id, e.tag, e.frame_index, e.n, CASE WHEN sqrt((e.x - w.ax) ** 2 + (e.y - w.ay) ** 2) >= 10 THEN e.x ELSE w.ax END, CASE WHEN sqrt((e.x - w.ax) ** 2 + (e.y - w.ay) ** 2) >= 10 THEN e.y ELSE w.ay END, sqrt((e.x - w.ax) ** 2 + (e.y - w.ay) ** 2) FROM w JOIN e ON e.sample_id = w.sample_id AND e.tag = w.tag AND e.n = w.n + 1)
 SELECT sample_id, tag, CAST(frame_index AS INT) AS tau_frame, round(s, 3) AS displacement FROM w WHERE s >= 10""")
 def moved_nodes(spark, sf_dir):
-    n = dag.moved_drafts(events.sights(_sights(spark, sf_dir)), Config())
+    n = dag.moved_drafts(events.sights(_sights(spark, sf_dir)), Config(), place_of=geometry.corner)
     return n.select("sample_id", F.col("tags")[0].alias("tag"), "tau_frame", F.round(F.get_json_object("metadata", "$.displacement").cast("double"), 3).alias("displacement"))
 
 
