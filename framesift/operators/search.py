@@ -4,42 +4,122 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from framesift.config import Config, Search
 from framesift.functions.embedding import dot, embed
 from framesift.functions.text import concept_tokens
 from framesift.operators.dag import ancestors
-from framesift.sources.storage import maybe_broadcast
 
-#: Up to this many queries are broadcast against the vectors; beyond it the sides are joined by sample.
+#: This many queries are held by each task at once; more go in blocks, one scan of the vectors each.
 MOST_QUERIES = 10_000
+#: This many queries are multiplied with a batch of vectors at once.
+_BLOCK = 256
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, ident: str, by: list[str] | None = None, threshold: float | None = None, vector: str = "embedding") -> DataFrame:
     """The k best rows of vectors for each query by inner product, ties by ident; then those below the threshold go.
 
-    queries: (query_id, by..., query_vector), a stated set that is broadcast after a count; without by, more than MOST_QUERIES go in
-    blocks of that size, one scan of the vectors each. Each task keeps k rows a query before anything is shuffled."""
+    queries: (query_id, by..., query_vector). MOST_QUERIES of them are sent to all tasks; each task multiplies matrices and keeps k rows a
+    query and batch, so pairs are neither made as rows nor shuffled."""
     by, n = by or [], queries.count()
-    if n > MOST_QUERIES and not by:
-        blocks = -(-n // (MOST_QUERIES * 9 // 10))  # some room, as a hash doesn't deal evenly
-        own = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        return reduce(DataFrame.unionByName, (_top_k(vectors, F.broadcast(own.filter(F.col("_block") == i).drop("_block")), k, ident, by, threshold, vector) for i in range(blocks)))
-    return _top_k(vectors, maybe_broadcast(queries, n, MOST_QUERIES), k, ident, by, threshold, vector)
-
-
-def _top_k(vectors: DataFrame, few: DataFrame, k: int, ident: str, by: list[str], threshold: float | None, vector: str) -> DataFrame:
-    score = dot(F.col(vector), F.col("query_vector"))
-    pairs = vectors.join(few, by) if by else vectors.crossJoin(few)
-    pairs = pairs.withColumn("score", score).drop("query_vector", vector)
+    blocks = max(1, -(-n // (MOST_QUERIES * 9 // 10))) if n > MOST_QUERIES else 1  # some room, as a hash doesn't deal evenly
+    own = queries.select("query_id", *by, "query_vector").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    spread = vectors.repartition(F.xxhash64(*by, ident))  # one small file is one task otherwise
+    parts = [_nearest(spread, own.filter(F.col("_block") == i).drop("_block"), k, ident, by, vector) for i in range(blocks)]
     best = W.partitionBy("query_id", *by).orderBy(F.desc("score"), ident)
-    found = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    found = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found if threshold is None else found.filter(F.col("score") >= threshold)
 
 
+def nearest(vectors: np.ndarray, known: np.ndarray, place: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows for each query, ties by place; rows that aren't known come last, with a score of -inf.
+
+    A product of matrices, whose sums round otherwise, only tells which rows may be among the best; these are summed in order, as dot() does."""
+    out = []
+    longest = np.sqrt((vectors * vectors).sum(axis=1).max(initial=0.0))
+    for start in range(0, len(queries), _BLOCK):
+        q = queries[start : start + _BLOCK]
+        rough = q @ vectors.T
+        rough[np.isnan(rough)] = np.inf
+        rough[:, ~known] = -np.inf
+        least = np.partition(rough, -k, axis=1)[:, -k] if k < rough.shape[1] else np.full(len(q), -np.inf)
+        slack = 8 * vectors.shape[1] * np.finfo(float).eps * longest * np.sqrt((q * q).sum(axis=1))
+        which, row = np.nonzero(rough >= (least - np.where(np.isfinite(slack), slack, 0))[:, None])
+        score = np.zeros(len(which))
+        for d in range(vectors.shape[1]):
+            score += q[which, d] * vectors[row, d]
+        score[~known[row]] = -np.inf
+        order = np.lexsort((place[row], -np.where(np.isnan(score), np.inf, score), which))
+        which, row, score = which[order], row[order], score[order]
+        first = np.searchsorted(which, np.arange(len(q)))
+        keep = np.arange(len(which)) - first[which] < k
+        out.append((which[keep] + start, row[keep], score[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, known): the lists of an Arrow column that are dim long and whole; the others are zeros."""
+    import pyarrow.compute as pc
+
+    length = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    known, values, starts = length == dim, column.flatten(), np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+    flat, missing = np.asarray(pc.fill_null(values, 0).cast("float64")), np.asarray(values.is_null())
+    at = starts[known][:, None] + np.arange(dim)
+    rows = np.zeros((len(length), dim))
+    rows[known] = flat[at]
+    known[np.flatnonzero(known)[missing[at].any(axis=1)]] = False
+    return rows, known
+
+
+def _nearest(vectors: DataFrame, few: DataFrame, k: int, ident: str, by: list[str], vector: str) -> DataFrame:
+    """(vectors' columns but the vector, query_id, score): of each batch of vectors the k best for each of few queries."""
+    import pyarrow.compute as pc
+
+    table = few.toArrow().combine_chunks()
+    groups: dict = {}
+    if table.num_rows:
+        size, keys = pc.fill_null(pc.list_value_length(table["query_vector"]), 0).to_pylist(), list(zip(*(table[c].to_pylist() for c in by), strict=True)) if by else [()] * table.num_rows
+        places: dict = {}
+        for i, place in enumerate(zip(keys, size, strict=True)):
+            places.setdefault(place, []).append(i)
+        for (key, dim), rows in places.items():
+            own = table.take(rows).combine_chunks()
+            groups.setdefault(key, []).append((own["query_id"].to_pylist(), *_matrix(own["query_vector"].chunk(0), dim)))
+    sent = vectors.sparkSession.sparkContext.broadcast(groups)
+    kept = [c for c in vectors.columns if c != vector]
+    schema = StructType([vectors.schema[c] for c in kept] + [few.schema["query_id"], StructField("score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def go(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else []
+            rows_of: dict = {}
+            for i, key in enumerate(keys):
+                rows_of.setdefault(key, []).append(i)
+            for key, rows in rows_of.items() if by else [((), None)] if batch.num_rows else []:
+                if key not in sent.value or None in key:
+                    continue
+                part = batch if rows is None else batch.take(pa.array(rows))
+                place = np.empty(part.num_rows, dtype=np.int64)
+                place[np.asarray(pc.sort_indices(part.column(ident), null_placement="at_start"))] = np.arange(part.num_rows)
+                for ids, queries, whole in sent.value[key]:
+                    vs, known = _matrix(part.column(vector), queries.shape[1])
+                    which, row, score = nearest(vs, known, place, queries, k)
+                    none = np.isneginf(score) & ~known[row] | ~whole[which]
+                    picked = part.select(kept).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(picked.columns, arrow, strict=False)] + [pa.array([ids[i] for i in which], arrow.field("query_id").type), pa.array(score, pa.float64(), mask=none)], schema=arrow)
+
+    return vectors.select(*kept, vector).mapInArrow(go, schema)
+
+
 def deduplicated(rows: DataFrame, key: str, order: str, by: list[str] | None = None) -> DataFrame:
     """The first row of each key by order; rows with a blank key all stay."""
     first = F.row_number().over(W.partitionBy(*(by or []), key).orderBy(order))
