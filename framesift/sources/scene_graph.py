@@ -54,22 +54,28 @@ def _truthy(m: Column, *names: str) -> Column:
     return F.coalesce(*(F.nullif(_text(F.try_element_at(m, F.lit(n))), F.lit("")) for n in names))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are reckoned once a row: no filter or projection after a generator is merged with what it gives."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def frames_of(payloads: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, position, frame_index, image_path, frame, fault): the frames of each payload, either layout, with what is wrong with the payload or frame."""
-    rows = payloads.select(*keys, F.try_parse_json("payload").alias("p"))
-    inner = F.when(F.map_contains_key(_fields(F.col("p")), "frames"), F.try_element_at(_fields(F.col("p")), F.lit("frames"))).otherwise(F.col("p"))
-    top = _fields(F.col("p"))
-    listed = _get(inner, "array<variant>")
+    rows = _once(payloads.select(*keys, "payload"), p=F.try_parse_json("payload")).drop("payload")
+    rows = _once(rows, top=_fields(F.col("p")))
+    top = F.col("top")
+    rows = _once(rows, f=_get(F.when(F.map_contains_key(top, "frames"), F.try_element_at(top, F.lit("frames"))).otherwise(F.col("p")), "array<variant>"))
+    listed = F.col("f")
     bad = F.when(top.isNotNull() & ~F.map_contains_key(top, "frames") | top.isNull() & listed.isNull(), "scene graph JSON must be a list of frames or an object with 'frames'").when(listed.isNull(), "top-level 'frames' must be a list")
-    rows = rows.select(*keys, bad.alias("fault"), listed.alias("f"))
+    rows = rows.select(*keys, bad.alias("fault"), "f")
     broken = rows.filter("fault is not null").select(*keys, F.lit(None).cast("int").alias("position"), F.lit(None).cast("int").alias("frame_index"), F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("variant").alias("frame"), "fault")
-    each = rows.filter("fault is null").select(*keys, F.posexplode("f").alias("position", "frame"))
-    m = _fields(F.col("frame"))
-    each = each.select(*keys, "position", frame_number(_text(F.try_element_at(m, F.lit("frame_index"))), F.coalesce(_text(F.try_element_at(m, F.lit("image_path"))), F.lit("")), F.col("position")).alias("frame_index"), _text(F.try_element_at(m, F.lit("image_path"))).alias("image_path"), "frame")
+    each = _once(rows.filter("fault is null").select(*keys, F.posexplode("f").alias("position", "frame")), m=_fields(F.col("frame")))
+    m = F.col("m")
+    each = each.select(*keys, "position", frame_number(_text(F.try_element_at(m, F.lit("frame_index"))), F.coalesce(_text(F.try_element_at(m, F.lit("image_path"))), F.lit("")), F.col("position")).alias("frame_index"), _text(F.try_element_at(m, F.lit("image_path"))).alias("image_path"), "frame", m.isNull().alias("no_object"), F.try_element_at(m, F.lit("objects")).alias("objects"))
+    each = each.withColumn("odd", ~_null(F.col("objects")) & _get(F.col("objects"), "array<variant>").isNull()).drop("objects")
     again = F.row_number().over(W.partitionBy(*keys, "frame_index").orderBy("position")) > 1
-    objects = F.try_element_at(m, F.lit("objects"))
-    fault = F.when(m.isNull(), "each frame must be a JSON object").when(again, F.concat(F.lit("duplicate frame_index "), F.col("frame_index"))).when(~_null(objects) & _get(objects, "array<variant>").isNull(), "field 'objects' must be a list")
-    return each.withColumn("fault", fault).unionByName(broken)
+    fault = F.when(F.col("no_object"), "each frame must be a JSON object").when(again, F.concat(F.lit("duplicate frame_index "), F.col("frame_index"))).when(F.col("odd"), "field 'objects' must be a list")
+    return each.withColumn("fault", fault).drop("no_object", "odd").unionByName(broken)
 
 
 def relation(v: Column) -> Column:
@@ -123,11 +129,15 @@ def detections(frames: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     """(detections, faults) of frames_of(): a row for each object that is whole, and (keys, frame_index, ord, fault) for the rest."""
     m = _fields(F.col("frame"))
     rows = frames.filter("fault is null").select(*keys, "frame_index", "image_path", F.posexplode(_get(F.try_element_at(m, F.lit("objects")), "array<variant>")).alias("ord", "o"))
-    rows = rows.withColumn("m", _fields(F.col("o")))
+    rows = _once(rows, m=_fields(F.col("o")))
     o = F.col("m")
     raw_tag, raw_label, raw_box, raw_score = _first(o, "tag", "name"), _first(o, "label", "category"), _first(o, "bbox", "box"), F.try_element_at(o, F.lit("score"))
-    box = _get(raw_box, "array<variant>")
-    rows = rows.select("*", normalize(_text(raw_tag)).alias("tag"), normalize(_text(raw_label)).alias("label"), F.transform(box, lambda x: F.coalesce(_get(x, "double"), _text(x).try_cast("double"))).alias("bbox"), F.when(raw_score.isNull(), F.lit(1.0)).otherwise(F.coalesce(_get(raw_score, "double"), _text(raw_score).try_cast("double"))).alias("score"), _null(raw_tag).alias("no_tag"), _null(raw_label).alias("no_label"), _null(raw_box).alias("no_box"))
+    rows = _once(rows, box_items=_get(raw_box, "array<variant>"), relations=relations(o))
+    box = F.col("box_items")
+    rows = _once(
+        rows, tag=normalize(_text(raw_tag)), label=normalize(_text(raw_label)), bbox=F.transform(box, lambda x: F.coalesce(_get(x, "double"), _text(x).try_cast("double"))),
+        score=F.when(raw_score.isNull(), F.lit(1.0)).otherwise(F.coalesce(_get(raw_score, "double"), _text(raw_score).try_cast("double"))), no_tag=_null(raw_tag), no_label=_null(raw_label), no_box=_null(raw_box),
+    )
     own = F.try_element_at(o, F.lit("relations"))
     fault = (
         F.when(o.isNull(), "each object must be a JSON object").when(F.col("no_tag"), "missing required field 'tag'").when(F.col("no_label"), "missing required field 'label'")
@@ -136,7 +146,7 @@ def detections(frames: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
         .when((F.col("bbox")[2] < F.col("bbox")[0]) | (F.col("bbox")[3] < F.col("bbox")[1]), "invalid bbox ordering; expected x2>=x1 and y2>=y1").when(F.col("score").isNull(), "field 'score' must be numeric if provided")
         .when(~_null(own) & _get(own, "array<variant>").isNull(), "field 'relations' must be a list if provided").when(F.exists("relations", lambda r: r["name"] == ""), "a relation is missing a valid relation name")
     )
-    rows = rows.withColumn("relations", relations(o)).withColumn("fault", fault)
+    rows = _once(rows, fault=fault)
     good = rows.filter("fault is null").select(*keys, "frame_index", "ord", "tag", "label", "bbox", "score", attribute_list(o).alias("attributes"), "relations", layer_mappings(o, F.col("tag")).alias("layer_mappings"), _get(F.try_element_at(o, F.lit("layer_id")), "int").alias("layer_id"), F.to_json("o").alias("extra"))
     bad = frames.filter("fault is not null").select(*keys, "frame_index", F.lit(None).cast("int").alias("ord"), "fault")
     return good, bad.unionByName(rows.filter("fault is not null").select(*keys, "frame_index", "ord", "fault"))
